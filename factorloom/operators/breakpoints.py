@@ -1,0 +1,226 @@
+"""Exact quantiles of cross-sections, per group and per population of members."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import in_universe, inner_breaks, interior_breaks
+from ..workspace import stage
+
+# rows of one group that an aggregation buffer may hold
+HASH_GROUP_ROWS = 250_000
+# value ranges into which the ranked method splits each group
+FENCES = 512
+
+
+def quantile_method(df: DataFrame, by: Sequence[str], limit: int = HASH_GROUP_ROWS) -> str:
+    """"hash" when every group of ``df`` has at most ``limit`` rows, else "ranked".
+
+    Runs a count, so ``df`` should be a written table.
+    """
+    if df.count() <= limit:
+        return "hash"
+    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0]
+    return "hash" if largest is None or largest <= limit else "ranked"
+
+
+def quantiles(
+    df: DataFrame,
+    value: str,
+    probs: Sequence[float],
+    by: Sequence[str],
+    populations: Mapping[str, Column] | None = None,
+    method: str = "auto",
+) -> DataFrame:
+    """Linearly interpolated quantiles: one row ``by..., population, q`` each.
+
+    ``populations`` names conditions; the quantiles of a population use the rows
+    that meet its condition, and all populations share the passes over ``df``.
+    ``q`` is null for a population without values in a group.  Null values are
+    ignored.
+
+    ``method="hash"`` holds the distinct values of a group in one buffer and
+    suits groups of a checked size.  ``method="ranked"`` selects the order
+    statistics by distributed counting and has no such limit.  "auto" counts the
+    rows and picks one; both return the same numbers.
+    """
+    populations = populations or {"all": F.lit(True)}
+    if method == "auto":
+        method = quantile_method(df, by)
+    if method == "hash":
+        return _hash_quantiles(df, value, probs, by, populations)
+    if method == "ranked":
+        return _ranked_quantiles(df, value, probs, by, populations)
+    raise ValueError(f"method must be 'auto', 'hash' or 'ranked', not {method!r}")
+
+
+def _hash_quantiles(df, value, probs, by, populations) -> DataFrame:
+    points = F.array(*[F.lit(float(p)) for p in probs])
+    names = list(populations)
+    wide = df.groupBy(*by).agg(
+        *[
+            F.percentile(F.when(populations[name], F.col(value)), points).alias(f"q{i}")
+            for i, name in enumerate(names)
+        ]
+    )
+    rows = [
+        F.struct(F.lit(name).alias("population"), F.col(f"q{i}").alias("q"))
+        for i, name in enumerate(names)
+    ]
+    return wide.select(*by, F.inline(F.array(*rows)))
+
+
+def count_below(
+    df: DataFrame, breaks: str, value: str, out: str, capacity: int, inclusive: bool = False
+) -> DataFrame:
+    """Add ``out``: how many of the sorted ``breaks`` lie below ``value``.
+
+    A binary search spelled out in ``log2(capacity)`` projections, which stay in
+    generated code; ``capacity`` bounds the length of ``breaks``.  With
+    ``inclusive`` a break equal to ``value`` counts too.
+    """
+    df = df.withColumn(out, F.lit(0))
+    step = 1 << max(capacity.bit_length() - 1, 0)
+    while step:
+        position = F.col(out) + step
+        fence = F.get(F.col(breaks), position - 1)  # null past the end
+        passed = fence <= F.col(value) if inclusive else fence < F.col(value)
+        df = df.withColumn(out, F.when(passed, position).otherwise(F.col(out)))
+        step >>= 1
+    return df
+
+
+def _ranked_quantiles(df, value, probs, by, populations) -> DataFrame:
+    by, names = list(by), list(populations)
+    member = [f"_member{i}" for i in range(len(names))]
+    rows = df.select(
+        *by,
+        F.col(value).alias("_x"),
+        *[
+            F.coalesce(populations[name], F.lit(False)).cast("long").alias(m)
+            for name, m in zip(names, member)
+        ],
+    )
+    groups = rows.select(*by)
+    in_any = F.greatest(*[F.col(m) for m in member], F.lit(0)) > 0
+    rows = rows.filter(F.col("_x").isNotNull() & in_any)
+
+    # 1. Fences near the i/FENCES quantiles, from a sketch of bounded size.  Any
+    #    fences give exact results, but every use must see the same ones: written.
+    ticks = F.array(*[F.lit(i / FENCES) for i in range(1, FENCES)])
+    fences = stage(
+        rows.groupBy(*by).agg(
+            F.percentile_approx("_x", ticks, F.lit(8 * FENCES)).alias("_fences")
+        ),
+        "fences",
+    )
+    ranged = count_below(rows.join(fences, by), "_fences", "_x", "_range", FENCES - 1).drop(
+        "_fences"
+    )
+
+    # 2. Members per range, and from the running counts the range of each order
+    #    statistic.  At most FENCES rows per group are left here.
+    sizes = ranged.groupBy(*by, "_range").agg(*[F.sum(m).alias(m) for m in member])
+    so_far = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*by)
+    per_population = [
+        F.struct(
+            F.lit(i).alias("_pop"),
+            F.col(m).alias("_n"),
+            (F.sum(m).over(so_far) - F.col(m)).alias("_before"),
+            F.sum(m).over(whole).alias("_total"),
+        )
+        for i, m in enumerate(member)
+    ]
+    points = F.array(
+        *[F.struct(F.lit(k).alias("_k"), F.lit(float(p)).alias("_p")) for k, p in enumerate(probs)]
+    )
+    position = (F.col("_total") - 1) * F.col("_p")
+    targets = (
+        sizes.select(*by, "_range", F.inline(F.array(*per_population)))
+        .filter(F.col("_n") > 0)
+        .select("*", F.inline(points))
+        .withColumn("_position", position)
+        .withColumn(
+            "_rank", F.explode(F.array_distinct(F.array(F.floor("_position"), F.ceil("_position"))))
+        )
+        .filter(
+            (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
+        )
+        .select(
+            *by, "_range", "_pop", "_k", "_position", "_rank",
+            (F.col("_rank") - F.col("_before")).alias("_offset"),
+        )
+    )
+    targets = stage(targets, "targets")
+
+    # 3. Only the ranges that hold a target are counted value by value, after a
+    #    map-side combine that absorbs ties; each is about 1/FENCES of a group.
+    wanted = targets.select(*by, "_range").distinct()
+    values = (
+        ranged.join(wanted, [*by, "_range"], "left_semi")
+        .groupBy(*by, "_range", "_x")
+        .agg(*[F.sum(m).alias(m) for m in member])
+    )
+    upto = (
+        Window.partitionBy(*by, "_range").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    counted = values.select(
+        *by,
+        "_range",
+        "_x",
+        F.array(*[F.col(m) for m in member]).alias("_here"),
+        F.array(*[F.sum(m).over(upto) for m in member]).alias("_upto"),
+    )
+    upto_pop = F.get("_upto", F.col("_pop"))
+    found = counted.join(targets, [*by, "_range"]).filter(
+        (F.col("_offset") < upto_pop)
+        & (F.col("_offset") >= upto_pop - F.get("_here", F.col("_pop")))
+    )
+    low, high = F.min_by("_x", "_rank"), F.max_by("_x", "_rank")
+    position = F.first("_position")
+    interpolated = F.when(low == high, low).otherwise(
+        (F.ceil(position) - position) * low + (position - F.floor(position)) * high
+    )
+    by_point = found.groupBy(*by, "_pop", "_k").agg(interpolated.alias("_value"))
+    listed = by_point.groupBy(*by, "_pop").agg(
+        F.array_sort(F.collect_list(F.struct("_k", "_value"))).alias("_points")
+    )
+    named = F.array(*[F.lit(name) for name in names])
+    frame = groups.distinct().select(
+        *by, F.explode(F.array(*[F.lit(i) for i in range(len(names))])).alias("_pop")
+    )
+    return frame.join(listed, [*by, "_pop"], "left").select(
+        *by,
+        F.get(named, F.col("_pop")).alias("population"),
+        F.col("_points._value").alias("q"),
+    )
+
+
+def breakpoints(
+    df: DataFrame,
+    value: str,
+    n: int,
+    by: Sequence[str],
+    universe: Sequence[str] | None = None,
+    closed: str = "left",
+    method: str = "auto",
+) -> DataFrame:
+    """Breaks of ``n`` bins per group: ``by..., breaks``.
+
+    ``closed="right"`` keeps the inner quantiles 1/n .. (n-1)/n; ``"left"`` takes
+    0 .. 1, collapses equal ones and drops the outermost two.  ``universe`` limits
+    the rows that set the breaks to some exchanges.
+    """
+    if closed == "right":
+        probs, shape = [i / n for i in range(1, n)], inner_breaks
+    else:
+        probs, shape = [i / n for i in range(n + 1)], interior_breaks
+    if not probs:
+        return df.select(*by).distinct().withColumn("breaks", F.array().cast("array<double>"))
+    population = {"universe": in_universe(F.col("exchange"), universe)}
+    found = quantiles(df, value, probs, by, population, method)
+    return found.select(*by, shape(F.col("q")).alias("breaks"))
