@@ -1,7 +1,6 @@
 """Column factories shared by the operators."""
 
 from .columns import (
-    bin_number,
     clean_double,
     equal_weighted,
     governing_july,
@@ -14,7 +13,6 @@ from .columns import (
 )
 
 __all__ = [
-    "bin_number",
     "clean_double",
     "equal_weighted",
     "governing_july",

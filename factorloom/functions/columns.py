@@ -56,14 +56,3 @@ def interior_breaks(quantiles: Column) -> Column:
         F.size(distinct) >= 2,
         F.slice(distinct, F.lit(2), F.greatest(F.size(distinct) - 2, F.lit(0))),
     )
-
-
-def bin_number(value: Column, breaks: Column, closed: str) -> Column:
-    """1-based bin of ``value``: (a, b] when ``closed`` is "right", else [a, b)."""
-    if closed not in ("left", "right"):
-        raise ValueError(f"closed must be 'left' or 'right', not {closed!r}")
-    if closed == "right":
-        below = F.filter(breaks, lambda b: b < value)
-    else:
-        below = F.filter(breaks, lambda b: b <= value)
-    return F.when(value.isNotNull() & breaks.isNotNull(), F.size(below) + 1)

@@ -83,16 +83,31 @@ def count_below(
     ``inclusive`` a break equal to ``value`` counts too.
     """
     df = df.withColumn(out, F.lit(0))
+    compare = "<=" if inclusive else "<"
     step = 1 << max(capacity.bit_length() - 1, 0)
     while step:
-        position = F.col(out) + step
-        fence = F.get(F.col(breaks), position - 1)  # null past the end
-        passed = fence <= F.col(value) if inclusive else fence < F.col(value)
-        df = df.withColumn(out, F.when(passed, position).otherwise(F.col(out)))
+        # get() is null past the end, which leaves the position as it is
+        passed = f"get(`{breaks}`, `{out}` + {step} - 1) {compare} `{value}`"
+        df = df.withColumn(out, F.expr(f"if({passed}, `{out}` + {step}, `{out}`)"))
         step >>= 1
     return df
 
 
+def bin_number(
+    df: DataFrame, value: str, breaks: str, out: str, n: int, closed: str
+) -> DataFrame:
+    """Add ``out``: the 1-based bin of ``value`` among the sorted ``breaks``.
+
+    Bins are (a, b] when ``closed`` is "right" and [a, b) when it is "left"; ``n``
+    bounds their number.  Null without a value or without breaks.
+    """
+    if closed not in ("left", "right"):
+        raise ValueError(f"closed must be 'left' or 'right', not {closed!r}")
+    df = count_below(df, breaks, value, out, n - 1, inclusive=closed == "left")
+    known = F.col(value).isNotNull() & F.col(breaks).isNotNull()
+    return df.withColumn(out, F.when(known, F.col(out) + 1))
+
+
 def _ranked_quantiles(df, value, probs, by, populations) -> DataFrame:
     by, names = list(by), list(populations)
     member = [f"_member{i}" for i in range(len(names))]
@@ -113,7 +128,7 @@ def _ranked_quantiles(df, value, probs, by, populations) -> DataFrame:
     ticks = F.array(*[F.lit(i / FENCES) for i in range(1, FENCES)])
     fences = stage(
         rows.groupBy(*by).agg(
-            F.percentile_approx("_x", ticks, F.lit(8 * FENCES)).alias("_fences")
+            F.percentile_approx("_x", ticks, F.lit(2 * FENCES)).alias("_fences")
         ),
         "fences",
     )
@@ -126,12 +141,19 @@ def _ranked_quantiles(df, value, probs, by, populations) -> DataFrame:
     sizes = ranged.groupBy(*by, "_range").agg(*[F.sum(m).alias(m) for m in member])
     so_far = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
+    counted = sizes.select(
+        *by,
+        "_range",
+        *member,
+        *[(F.sum(m).over(so_far) - F.col(m)).alias(f"{m}_before") for m in member],
+        *[F.sum(m).over(whole).alias(f"{m}_total") for m in member],
+    )
     per_population = [
         F.struct(
             F.lit(i).alias("_pop"),
             F.col(m).alias("_n"),
-            (F.sum(m).over(so_far) - F.col(m)).alias("_before"),
-            F.sum(m).over(whole).alias("_total"),
+            F.col(f"{m}_before").alias("_before"),
+            F.col(f"{m}_total").alias("_total"),
         )
         for i, m in enumerate(member)
     ]
@@ -140,7 +162,7 @@ def _ranked_quantiles(df, value, probs, by, populations) -> DataFrame:
     )
     position = (F.col("_total") - 1) * F.col("_p")
     targets = (
-        sizes.select(*by, "_range", F.inline(F.array(*per_population)))
+        counted.select(*by, "_range", F.inline(F.array(*per_population)))
         .filter(F.col("_n") > 0)
         .select("*", F.inline(points))
         .withColumn("_position", position)

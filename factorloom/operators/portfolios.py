@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions import bin_number
 from ..workspace import stage
-from .breakpoints import breakpoints, quantile_method
+from .breakpoints import bin_number, breakpoints, quantile_method
 
 SORT_DATE = ("sorting_date",)
 
@@ -30,10 +28,8 @@ def assign_quantile(
     sends them to every task only if they are small, and shuffles otherwise.
     """
     breaks = stage(breakpoints(df, value, n, by, universe, closed, method), "breaks")
-    return (
-        df.join(breaks, list(by), "left")
-        .withColumn(out, bin_number(F.col(value), F.col("breaks"), closed))
-        .drop("breaks")
+    return bin_number(df.join(breaks, list(by), "left"), value, "breaks", out, n, closed).drop(
+        "breaks"
     )
 
 

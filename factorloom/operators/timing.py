@@ -34,15 +34,21 @@ def december_equity(panel: DataFrame) -> DataFrame:
     )
 
 
+def with_sort_date(fundamentals: DataFrame) -> DataFrame:
+    """Add July 1 of the year after the fiscal year-end, unless it is there."""
+    if "sorting_date" in fundamentals.columns:
+        return fundamentals
+    return fundamentals.withColumn("sorting_date", july_first(F.year("datadate") + 1))
+
+
 def book_to_market(fundamentals: DataFrame, december: DataFrame) -> DataFrame:
     """Book equity of a fiscal year over the December market cap of that year.
 
     One row per matching pair.  A zero market cap gives a null ratio.  The
     fiscal year-end and firm are kept for :func:`dedupe_cross_section`.
     """
-    known_from = july_first(F.year("datadate") + 1)
     return (
-        fundamentals.withColumn("sorting_date", known_from)
+        with_sort_date(fundamentals)
         .join(december, on=["gvkey", "sorting_date"], how="inner")
         .select(
             "permno",
@@ -63,10 +69,10 @@ def latest_fundamentals(fundamentals: DataFrame) -> DataFrame:
     """
     latest = F.max(F.struct("datadate", "be")).alias("latest")
     return (
-        fundamentals.filter(F.col("be").isNotNull())
-        .groupBy("gvkey", F.year("datadate").alias("fiscal_year"))
+        with_sort_date(fundamentals.filter(F.col("be").isNotNull()))
+        .groupBy("gvkey", "sorting_date")
         .agg(latest)
-        .select("gvkey", "latest.datadate", "latest.be")
+        .select("gvkey", "sorting_date", "latest.datadate", "latest.be")
     )
 
 

@@ -1,7 +1,15 @@
 """Whole analyses composed from the operators."""
 
 from .comparison import design_premiums, premium_comparison
-from .grid import GridAxes, Sample, grid_series, run_grid, spec_grid
+from .grid import (
+    GridAxes,
+    Sample,
+    default_samples,
+    grid_series,
+    run_grid,
+    spec_coverage,
+    spec_grid,
+)
 from .report import estimate_histogram, grid_summary, reference_lines
 from .study import Study, run_study
 
@@ -9,6 +17,7 @@ __all__ = [
     "GridAxes",
     "Sample",
     "Study",
+    "default_samples",
     "design_premiums",
     "estimate_histogram",
     "grid_series",
@@ -17,5 +26,6 @@ __all__ = [
     "reference_lines",
     "run_grid",
     "run_study",
+    "spec_coverage",
     "spec_grid",
 ]

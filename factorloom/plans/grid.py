@@ -23,8 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bin_number, clean_double, in_universe, interior_breaks
-from ..operators.breakpoints import count_below, quantile_method, quantiles
+from ..functions import clean_double, in_universe, interior_breaks
+from ..operators.breakpoints import bin_number, count_below, quantile_method, quantiles
 from ..operators.inference import capm_alpha, newey_west_mean
 from ..operators.portfolios import SORT_DATE
 from ..operators.premium import high_minus_low
@@ -168,12 +168,11 @@ def _breaks(sv: DataFrame, axes: GridAxes, method: str) -> tuple[DataFrame, Data
         parts.append(whole.withColumn("portfolio_me", F.lit(0)))
     if True in axes.dependent:
         # one copy of a stock per population it belongs to, on the annual rows only
-        sized = (
-            sv.join(size, "sorting_date")
-            .filter(_case(F.col("population"), members))
-            .withColumn("portfolio_me", bin_number(F.col("me"), F.col("me_breaks"), "left"))
-            .filter(F.col("portfolio_me").isNotNull())
-            .select("sorting_date", F.col("population").alias("_population"), "portfolio_me", "bm")
+        copies = sv.join(size, "sorting_date").filter(
+            F.col("me_breaks").isNotNull() & _case(F.col("population"), members)
+        )
+        sized = bin_number(copies, "me", "me_breaks", "portfolio_me", N_SIZE, "left").select(
+            "sorting_date", F.col("population").alias("_population"), "portfolio_me", "bm"
         )
         by = ["sorting_date", "_population", "portfolio_me"]
         within = quantiles(sized, "bm", points, by, method=method).drop("population")
@@ -229,18 +228,16 @@ def _portfolios_of_cells(
         axes.population_name(u, e): F.col(f"kept{axes.exclusions.index(e)}")
         for u, e in axes.populations
     }
-    sized = (
-        cells.join(size, "sorting_date")
-        .filter(_case(F.col("population"), in_sample))
-        .withColumn("_size", bin_number(F.col("me"), F.col("me_breaks"), "left"))
-        .withColumn("portfolio_me", F.explode(F.array(F.lit(0), F.col("_size"))))
+    copies = cells.join(size, "sorting_date").filter(_case(F.col("population"), in_sample))
+    sized = bin_number(copies, "me", "me_breaks", "_size", N_SIZE, "left").withColumn(
+        "portfolio_me", F.explode(F.array(F.lit(0), F.col("_size")))
     )
-    return (
-        sized.join(bm, ["sorting_date", "population", "portfolio_me"])
-        .withColumn("portfolio", bin_number(F.col("bm"), F.col("breaks"), "left"))
-        .filter(F.col("portfolio").isNotNull())
-        .withColumn("dependent", F.col("portfolio_me") > 0)
+    assignments = sized.join(
+        bm.filter(F.col("breaks").isNotNull()), ["sorting_date", "population", "portfolio_me"]
     )
+    return bin_number(
+        assignments, "bm", "breaks", "portfolio", max(axes.n_portfolios), "left"
+    ).withColumn("dependent", F.col("portfolio_me") > 0)
 
 
 ASSIGNMENT = ["population", "n_portfolios", "dependent"]
@@ -280,6 +277,37 @@ def spec_series(specs: DataFrame, series: DataFrame) -> DataFrame:
     return months.filter(from_start & to_end).select("spec_id", "date", "value_premium")
 
 
+def spec_coverage(sv: DataFrame, axes: GridAxes) -> DataFrame:
+    """Stocks in the sample of each specification, and those that set its breaks."""
+    specs = spec_grid(sv.sparkSession, axes)
+    populations = [
+        F.struct(
+            F.lit(axes.population_name(u, e)).alias("population"),
+            _kept(e).alias("_kept"),
+            (in_universe(F.col("exchange"), axes.universes[u]) & _kept(e)).alias("_member"),
+        )
+        for u, e in axes.populations
+    ]
+    per_date = (
+        sv.select("sorting_date", F.inline(F.array(*populations)))
+        .filter("_kept")
+        .groupBy("population", "sorting_date")
+        .agg(F.count("*").alias("_stocks"), F.count_if("_member").alias("_members"))
+    )
+    from_start = F.col("sample_start").isNull() | (F.col("sorting_date") >= F.col("sample_start"))
+    to_end = F.col("sample_end").isNull() | (F.col("sorting_date") < F.col("sample_end"))
+    inside = from_start & to_end
+    keys = ["spec_id", "n_portfolios", "universe", "weighting", "dependent", "sample"]
+    return (
+        specs.join(per_date, "population", "left")
+        .groupBy(*keys)
+        .agg(
+            F.coalesce(F.sum(F.when(inside, F.col("_stocks"))), F.lit(0)).alias("n_stocks"),
+            F.coalesce(F.sum(F.when(inside, F.col("_members"))), F.lit(0)).alias("n_members"),
+        )
+    )
+
+
 def run_grid(
     sv: DataFrame,
     returns: DataFrame,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,10 +79,3 @@ def run_study(
     write_report(bins, f"{tables}/estimate_histogram", ("test", "bin", "is_significant"))
     write_report(grid_summary(grid), f"{tables}/grid_summary", ("test", "axis", "option"))
     write_report(reference_lines(study.factors), f"{tables}/reference_lines", ("test",))
-
-
-def split_axes(split: dt.date) -> GridAxes:
-    """The default grid with another date between the early and the late sample."""
-    from .grid import default_samples
-
-    return GridAxes(samples=default_samples(split))

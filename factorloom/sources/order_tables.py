@@ -132,6 +132,7 @@ def source_signature(spark: SparkSession, sf_dir: str) -> tuple:
         .option("recursiveFileLookup", "true")
         .load(paths)
         .select("path", "length", "modificationTime")
+        .coalesce(64)
     )
     return tuple(
         files.agg(
