@@ -48,7 +48,7 @@ def _rounded(df: DataFrame, **digits: int) -> DataFrame:
 
 
 PANEL_DIGITS = {"mktcap": 4, "mktcap_lag": 4, "ret_excess": 12}
-TEST_DIGITS = {"estimate": 12, "t_stat": 8}
+TEST_DIGITS = {"estimate": 10, "t_stat": 8}
 
 
 # inputs
@@ -63,7 +63,7 @@ def fundamentals_annual(s: _Study) -> DataFrame:
 
 
 def factors_tidy(s: _Study) -> DataFrame:
-    return _rounded(s.factors, mkt_excess=12, hml=12)
+    return _rounded(s.factors, mkt_excess=10, hml=10)
 
 
 def parquet_roundtrip(s: _Study) -> DataFrame:
@@ -78,7 +78,7 @@ def csv_report_roundtrip(s: _Study) -> DataFrame:
     path = scratch_path(spark, "report")
     sources.write_report(s.comparison(), path, ("_order",))
     schema = "design string, value_premium double"
-    return _rounded(spark.read.csv(path, schema=schema, header=True), value_premium=12)
+    return _rounded(spark.read.csv(path, schema=schema, header=True), value_premium=10)
 
 
 # timing
@@ -122,25 +122,25 @@ def _double_sort_returns(s: _Study) -> DataFrame:
 
 
 def vw_double_sort(s: _Study) -> DataFrame:
-    return _rounded(_double_sort_returns(s), ret=12)
+    return _rounded(_double_sort_returns(s), ret=10)
 
 
 def size_neutral_returns(s: _Study) -> DataFrame:
-    return _rounded(ops.size_neutral(_double_sort_returns(s)), ret=12)
+    return _rounded(ops.size_neutral(_double_sort_returns(s)), ret=10)
 
 
 def premium_independent(s: _Study) -> DataFrame:
     averaged = ops.size_neutral(_double_sort_returns(s))
-    return _rounded(ops.high_minus_low(averaged, "portfolio_bm"), value_premium=12)
+    return _rounded(ops.high_minus_low(averaged, "portfolio_bm"), value_premium=10)
 
 
 def premium_dependent(s: _Study) -> DataFrame:
     chosen = s.premiums.filter(F.col("design") == "Dependent").drop("design")
-    return _rounded(chosen, value_premium=12)
+    return _rounded(chosen, value_premium=10)
 
 
 def premium_comparison(s: _Study) -> DataFrame:
-    return _rounded(s.comparison().drop("_order"), value_premium=12)
+    return _rounded(s.comparison().drop("_order"), value_premium=10)
 
 
 # exchange breakpoints and grid sorts
@@ -181,7 +181,7 @@ def sort_conditional(s: _Study) -> DataFrame:
 
 def returns_vw_ew(s: _Study) -> DataFrame:
     sorted_ = ops.univariate_sort(s.sorting_variables, 5, ["NYSE"]).filter("portfolio IS NOT NULL")
-    return _rounded(ops.portfolio_returns(sorted_, s.returns, weight="both"), ret=12)
+    return _rounded(ops.portfolio_returns(sorted_, s.returns, weight="both"), ret=10)
 
 
 def high_minus_low(s: _Study) -> DataFrame:
@@ -189,7 +189,7 @@ def high_minus_low(s: _Study) -> DataFrame:
     rets = ops.portfolio_returns(
         sorted_.filter("portfolio IS NOT NULL"), s.returns, weight="both"
     )
-    return _rounded(ops.high_minus_low(rets, by=["weighting", "date"]), value_premium=12)
+    return _rounded(ops.high_minus_low(rets, by=["weighting", "date"]), value_premium=10)
 
 
 # inference
@@ -220,7 +220,7 @@ def spec_coverage(s: _Study) -> DataFrame:
 
 
 def grid_series(s: _Study) -> DataFrame:
-    return _rounded(plans.grid_series(s.sorting_variables, s.returns, AXES), value_premium=12)
+    return _rounded(plans.grid_series(s.sorting_variables, s.returns, AXES), value_premium=10)
 
 
 def grid_results(s: _Study) -> DataFrame:
@@ -241,12 +241,12 @@ def estimate_histogram(s: _Study) -> DataFrame:
 
 
 def reference_lines(s: _Study) -> DataFrame:
-    return _rounded(plans.reference_lines(s.factors), reference=12)
+    return _rounded(plans.reference_lines(s.factors), reference=10)
 
 
 def grid_summary(s: _Study) -> DataFrame:
     spread = ["min", "max", "mean", "median", "sd"]
-    return _rounded(plans.grid_summary(s.results), **{f"{c}_estimate": 12 for c in spread})
+    return _rounded(plans.grid_summary(s.results), **{f"{c}_estimate": 10 for c in spread})
 
 
 QUERIES: list[Callable[[_Study], DataFrame]] = [

@@ -219,7 +219,7 @@ RESULTS = (
     + """,
 grid_results AS (
   SELECT spec_id, n_portfolios, universe, weighting, dependent, sample, test, estimate, t_stat,
-         n_obs
+         coalesce(n_obs, 0) AS n_obs
   FROM specs CROSS JOIN (VALUES ('Newey-West'), ('CAPM-alpha')) t(test)
   LEFT JOIN (SELECT 'Newey-West' AS test, spec_id, estimate, t_stat, n_obs FROM nwt
              UNION ALL
@@ -237,78 +237,78 @@ def _sql(parts: list[str], select: str) -> str:
 def oracle_sql() -> dict[str, str]:
     base, double, grid = [BASE], [BASE, DOUBLE], [BASE, GRID]
     results = [BASE, GRID, SPECS, RESULTS]
-    panel = """SELECT permno, gvkey, date, exchange, industry, round(mktcap, 4) AS mktcap,
-      round(mktcap_lag, 4) AS mktcap_lag, round(ret_excess, 12) + 0.0 AS ret_excess FROM panel"""
+    panel = """SELECT permno, gvkey, date, exchange, industry, round(mktcap, 4) + 0.0 AS mktcap,
+      round(mktcap_lag, 4) + 0.0 AS mktcap_lag, round(ret_excess, 12) + 0.0 AS ret_excess FROM panel"""
     comparison = """
-      SELECT design, round(avg(value_premium), 12) AS value_premium FROM premium GROUP BY 1
-      UNION ALL SELECT 'Published HML', round(avg(hml), 12) FROM factors"""
-    sort_columns = """permno, exchange, industry, sorting_date, round(me, 4) AS me,
-      round(bm, 10) AS bm, portfolio_me, portfolio_bm"""
+      SELECT design, round(avg(value_premium), 10) + 0.0 AS value_premium FROM premium GROUP BY 1
+      UNION ALL SELECT 'Published HML', round(avg(hml), 10) + 0.0 FROM factors"""
+    sort_columns = """permno, exchange, industry, sorting_date, round(me, 4) + 0.0 AS me,
+      round(bm, 10) + 0.0 AS bm, portfolio_me, portfolio_bm"""
     return {
         # inputs
         "panel_monthly": _sql(base, panel),
-        "fundamentals_annual": _sql(base, "SELECT gvkey, datadate, round(be, 2) AS be FROM fundamentals"),
+        "fundamentals_annual": _sql(base, "SELECT gvkey, datadate, round(be, 2) + 0.0 AS be FROM fundamentals"),
         "factors_tidy": _sql(
             base,
-            "SELECT date, round(mkt_excess, 12) AS mkt_excess, round(hml, 12) AS hml FROM factors",
+            "SELECT date, round(mkt_excess, 10) + 0.0 AS mkt_excess, round(hml, 10) + 0.0 AS hml FROM factors",
         ),
         "parquet_roundtrip": _sql(base, panel),
         "csv_report_roundtrip": _sql(double, comparison),
         # timing
         "june_size": _sql(
             base,
-            "SELECT permno, exchange, industry, sorting_date, round(me, 4) AS me FROM size",
+            "SELECT permno, exchange, industry, sorting_date, round(me, 4) + 0.0 AS me FROM size",
         ),
         "december_equity": _sql(
-            base, "SELECT permno, gvkey, sorting_date, round(me_dec, 4) AS me_dec FROM december"
+            base, "SELECT permno, gvkey, sorting_date, round(me_dec, 4) + 0.0 AS me_dec FROM december"
         ),
         "book_to_market": _sql(
-            base, "SELECT permno, sorting_date, round(bm, 10) AS bm, datadate, gvkey FROM btm"
+            base, "SELECT permno, sorting_date, round(bm, 10) + 0.0 AS bm, datadate, gvkey FROM btm"
         ),
         "sorting_variables": _sql(
             base,
-            """SELECT permno, exchange, industry, sorting_date, round(me, 4) AS me,
-               round(bm, 10) AS bm FROM sv""",
+            """SELECT permno, exchange, industry, sorting_date, round(me, 4) + 0.0 AS me,
+               round(bm, 10) + 0.0 AS bm FROM sv""",
         ),
         "return_periods": _sql(
             base,
             """SELECT permno, sorting_date, date, round(ret_excess, 12) + 0.0 AS ret_excess,
-               round(mktcap_lag, 4) AS mktcap_lag FROM rets""",
+               round(mktcap_lag, 4) + 0.0 AS mktcap_lag FROM rets""",
         ),
         # double sorts
         "qcut_independent": _sql(double, f"SELECT {sort_columns} FROM ind"),
         "qcut_dependent": _sql(double, f"SELECT {sort_columns} FROM dep"),
         "vw_double_sort": _sql(
             double,
-            """SELECT date, portfolio_bm, portfolio_me, round(ret, 12) AS ret
+            """SELECT date, portfolio_bm, portfolio_me, round(ret, 10) + 0.0 AS ret
                FROM vw WHERE design = 'Independent'""",
         ),
         "size_neutral_returns": _sql(
             double,
-            """SELECT date, portfolio_bm, round(ret, 12) AS ret
+            """SELECT date, portfolio_bm, round(ret, 10) + 0.0 AS ret
                FROM neutral WHERE design = 'Independent'""",
         ),
         "premium_independent": _sql(
             double,
-            """SELECT date, round(value_premium, 12) AS value_premium, n_portfolios_present
+            """SELECT date, round(value_premium, 10) + 0.0 AS value_premium, n_portfolios_present
                FROM premium WHERE design = 'Independent'""",
         ),
         "premium_dependent": _sql(
             double,
-            """SELECT date, round(value_premium, 12) AS value_premium, n_portfolios_present
+            """SELECT date, round(value_premium, 10) + 0.0 AS value_premium, n_portfolios_present
                FROM premium WHERE design = 'Dependent'""",
         ),
         "premium_comparison": _sql(double, comparison),
         # exchange breakpoints and grid sorts
         "exchange_breakpoints": _sql(
             grid,
-            """SELECT sorting_date, CAST(k - 1 AS INT) AS position, round(q[k], 10) AS break
+            """SELECT sorting_date, CAST(k - 1 AS INT) AS position, round(q[k], 10) + 0.0 AS break
                FROM tenths, range(1, 12) t(k) WHERE population = 'NYSE' AND NOT dependent""",
         ),
         "exchange_breakpoints_ranked": _sql(
             grid,
             """SELECT sorting_date, population, CAST(k - 1 AS INT) AS position,
-                      round(q[k], 10) AS break
+                      round(q[k], 10) + 0.0 AS break
                FROM tenths, range(1, 12) t(k)
                WHERE population IN ('NYSE', 'ALL') AND NOT dependent""",
         ),
@@ -325,12 +325,12 @@ def oracle_sql() -> dict[str, str]:
         ),
         "returns_vw_ew": _sql(
             grid,
-            """SELECT date, portfolio, weighting, round(ret, 12) AS ret FROM grid_rets
+            """SELECT date, portfolio, weighting, round(ret, 10) + 0.0 AS ret FROM grid_rets
                WHERE population = 'NYSE' AND NOT dependent AND n_portfolios = 5""",
         ),
         "high_minus_low": _sql(
             grid,
-            """SELECT weighting, date, round(value_premium, 12) AS value_premium,
+            """SELECT weighting, date, round(value_premium, 10) + 0.0 AS value_premium,
                       n_portfolios_present
                FROM series
                WHERE population = 'ALL' AND dependent AND n_portfolios = 5""",
@@ -339,16 +339,16 @@ def oracle_sql() -> dict[str, str]:
         "newey_west_mean": _sql(
             [BASE, DOUBLE, "p AS (SELECT design, date, value_premium AS y FROM premium"
              " WHERE value_premium IS NOT NULL)", nw("p", "design", "nwt")],
-            "SELECT design, round(estimate, 12) AS estimate, round(t_stat, 8) AS t_stat, n_obs FROM nwt",
+            "SELECT design, round(estimate, 10) + 0.0 AS estimate, round(t_stat, 8) + 0.0 AS t_stat, n_obs FROM nwt",
         ),
         "capm_alpha": _sql(
             [BASE, DOUBLE, "p AS (SELECT design, date, value_premium AS y, mkt_excess AS x"
              " FROM premium LEFT JOIN factors USING (date))", capm("p", "design", "capmt")],
-            "SELECT design, round(estimate, 12) AS estimate, round(t_stat, 8) AS t_stat, n_obs FROM capmt",
+            "SELECT design, round(estimate, 10) + 0.0 AS estimate, round(t_stat, 8) + 0.0 AS t_stat, n_obs FROM capmt",
         ),
         "factor_capm_alpha": _sql(
             [BASE, FACTOR_CAPM],
-            "SELECT round(estimate, 12) AS estimate, round(t_stat, 8) AS t_stat, n_obs FROM hmlt",
+            "SELECT round(estimate, 10) + 0.0 AS estimate, round(t_stat, 8) + 0.0 AS t_stat, n_obs FROM hmlt",
         ),
         "gap_check": _sql(
             double,
@@ -369,19 +369,19 @@ def oracle_sql() -> dict[str, str]:
         "grid_series": _sql(
             grid,
             """SELECT population, n_portfolios, dependent, weighting, sorting_date, date,
-                      round(value_premium, 12) AS value_premium, n_portfolios_present
+                      round(value_premium, 10) + 0.0 AS value_premium, n_portfolios_present
                FROM series""",
         ),
         "grid_results": _sql(
             results,
             """SELECT spec_id, n_portfolios, universe, weighting, dependent, sample, test,
-                      round(estimate, 12) AS estimate, round(t_stat, 8) AS t_stat, n_obs
+                      round(estimate, 10) + 0.0 AS estimate, round(t_stat, 8) + 0.0 AS t_stat, n_obs
                FROM grid_results""",
         ),
         # reports
         "significance_flags": _sql(
             results,
-            """SELECT spec_id, test, round(estimate, 12) AS estimate, round(t_stat, 8) AS t_stat,
+            """SELECT spec_id, test, round(estimate, 10) + 0.0 AS estimate, round(t_stat, 8) + 0.0 AS t_stat,
                       abs(t_stat) >= 1.96 AS is_significant FROM grid_results""",
         ),
         "estimate_histogram": _sql(
@@ -393,8 +393,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "reference_lines": _sql(
             [BASE, FACTOR_CAPM],
-            """SELECT 'Newey-West' AS test, round(avg(hml), 12) AS reference FROM factors
-               UNION ALL SELECT 'CAPM-alpha', round(estimate, 12) FROM hmlt""",
+            """SELECT 'Newey-West' AS test, round(avg(hml), 10) + 0.0 AS reference FROM factors
+               UNION ALL SELECT 'CAPM-alpha', round(estimate, 10) + 0.0 FROM hmlt""",
         ),
         "grid_summary": _sql(
             results + ["""
@@ -409,11 +409,11 @@ flat AS (
             """SELECT test, axis, option, count(*) AS n_specs, count(estimate) AS n_estimates,
                       count(*) FILTER (WHERE abs(t_stat) >= 1.96) AS n_significant,
                       count(*) FILTER (WHERE estimate > 0) AS n_positive,
-                      round(min(estimate), 12) AS min_estimate,
-                      round(max(estimate), 12) AS max_estimate,
-                      round(avg(estimate), 12) AS mean_estimate,
-                      round(median(estimate), 12) AS median_estimate,
-                      round(stddev_samp(estimate), 12) AS sd_estimate
+                      round(min(estimate), 10) + 0.0 AS min_estimate,
+                      round(max(estimate), 10) + 0.0 AS max_estimate,
+                      round(avg(estimate), 10) + 0.0 AS mean_estimate,
+                      round(median(estimate), 10) + 0.0 AS median_estimate,
+                      round(stddev_samp(estimate), 10) + 0.0 AS sd_estimate
                FROM flat GROUP BY ALL""",
         ),
     }

@@ -1,6 +1,6 @@
 """DataFrame-to-DataFrame operators."""
 
-from .breakpoints import breakpoints, count_below, quantile_method, quantiles
+from .cross_section import breakpoints, count_below, quantile_method, quantiles
 from .inference import capm_alpha, gap_check, newey_west_mean
 from .portfolios import assign_quantile, conditional_sort, double_sort, univariate_sort
 from .premium import flag_significant, high_minus_low, mean_premium, size_neutral

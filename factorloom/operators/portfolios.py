@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from ..workspace import stage
-from .breakpoints import bin_number, breakpoints, quantile_method
+from .cross_section import bin_number, breakpoints, quantile_method
 
 SORT_DATE = ("sorting_date",)
 

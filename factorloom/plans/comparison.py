@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.breakpoints import quantile_method
+from ..operators.cross_section import quantile_method
 from ..operators.portfolios import SORT_DATE, assign_quantile
 from ..operators.premium import high_minus_low, mean_premium, size_neutral
 from ..operators.returns import cell_sums, returns_from_sums

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean_double, in_universe, interior_breaks
-from ..operators.breakpoints import bin_number, count_below, quantile_method, quantiles
+from ..operators.cross_section import bin_number, count_below, quantile_method, quantiles
 from ..operators.inference import capm_alpha, newey_west_mean
 from ..operators.portfolios import SORT_DATE
 from ..operators.premium import high_minus_low
@@ -338,4 +338,6 @@ def run_grid(
     rows = specs.drop("population", "sample_start", "sample_end").select(
         "*", F.inline(F.array(*names))
     )
-    return rows.join(found, ["spec_id", "test"], "left")
+    return rows.join(found, ["spec_id", "test"], "left").withColumn(
+        "n_obs", F.coalesce("n_obs", F.lit(0))
+    )
