@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from factorloom import operators as ops
 from factorloom import plans, sources
 from factorloom.functions import in_universe
+from factorloom.operators.portfolios import LISTED
 from factorloom.sources.order_tables import market_tables, source_signature
 from factorloom.workspace import scratch_path, stage
 
@@ -43,6 +44,11 @@ def study(spark: SparkSession, sf_dir: str) -> _Study:
     return _studies[key]
 
 
+def forget_studies() -> None:
+    """Derive every folder again on its next query."""
+    _studies.clear()
+
+
 def _rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
@@ -165,7 +171,7 @@ def exchange_breakpoints(s: _Study) -> DataFrame:
 
 
 def exchange_breakpoints_ranked(s: _Study) -> DataFrame:
-    return _tenths(s, {"NYSE": ["NYSE"], "ALL": ["NYSE", "NASDAQ", "AMEX"]}, "ranked")
+    return _tenths(s, {"NYSE": ["NYSE"], "ALL": LISTED}, "ranked")
 
 
 def sort_univariate(s: _Study) -> DataFrame:
@@ -185,7 +191,7 @@ def returns_vw_ew(s: _Study) -> DataFrame:
 
 
 def high_minus_low(s: _Study) -> DataFrame:
-    sorted_ = ops.conditional_sort(s.sorting_variables, 5, ["NYSE", "NASDAQ", "AMEX"])
+    sorted_ = ops.conditional_sort(s.sorting_variables, 5)
     rets = ops.portfolio_returns(
         sorted_.filter("portfolio IS NOT NULL"), s.returns, weight="both"
     )

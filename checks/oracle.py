@@ -4,6 +4,18 @@ from __future__ import annotations
 
 SPLIT = "DATE '1999-07-01'"
 
+
+
+def _at_ranks(v: str, probs: str) -> str:
+    """Quantiles of a sorted list at linearly interpolated ranks."""
+    rank = f"(len({v}) - 1) * p"
+    low, high = (f"{v}[CAST({f}({rank}) AS INT) + 1]" for f in ("floor", "ceil"))
+    value = f"{low} + ({rank} - floor({rank})) * ({high} - {low})"
+    return f"CASE WHEN {v} IS NOT NULL THEN list_transform({probs}, lambda p: {value}) END"
+
+
+THIRDS, TENTHS = "[1/3, 2/3]", f"[{', '.join(f'{i}/10' for i in range(11))}]"
+
 BASE = """
 sm AS (
   SELECT l_suppkey AS permno, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
@@ -55,18 +67,19 @@ rets AS (
   FROM panel)"""
 
 # (a, b] terciles from all stocks
-DOUBLE = """
+DOUBLE = f"""
 qs AS (
-  SELECT sorting_date, quantile_cont(me, [1/3, 2/3]) AS qme, quantile_cont(bm, [1/3, 2/3]) AS qbm
-  FROM sv GROUP BY 1),
+  SELECT sorting_date, {_at_ranks('vme', THIRDS)} AS qme, {_at_ranks('vbm', THIRDS)} AS qbm
+  FROM (SELECT sorting_date, list_sort(list(me)) AS vme, list_sort(list(bm)) AS vbm
+        FROM sv GROUP BY 1)),
 ind AS (
   SELECT sv.*,
          1 + (me > qme[1])::INT + (me > qme[2] AND qme[2] <> qme[1])::INT AS portfolio_me,
          1 + (bm > qbm[1])::INT + (bm > qbm[2] AND qbm[2] <> qbm[1])::INT AS portfolio_bm
   FROM sv JOIN qs USING (sorting_date)),
 qd AS (
-  SELECT sorting_date, portfolio_me, quantile_cont(bm, [1/3, 2/3]) AS qbm
-  FROM ind GROUP BY 1, 2),
+  SELECT sorting_date, portfolio_me, {_at_ranks('v', THIRDS)} AS qbm
+  FROM (SELECT sorting_date, portfolio_me, list_sort(list(bm)) AS v FROM ind GROUP BY 1, 2)),
 dep AS (
   SELECT permno, exchange, industry, sorting_date, me, bm, portfolio_me,
          1 + (bm > q.qbm[1])::INT + (bm > q.qbm[2] AND q.qbm[2] <> q.qbm[1])::INT AS portfolio_bm
@@ -91,7 +104,7 @@ premium AS (
   FROM ends GROUP BY ALL)"""
 
 # [a, b) bins from exchange quantiles, every assignment of the grid one by one
-GRID = """
+GRID = f"""
 pops AS (
   SELECT * FROM (VALUES ('NYSE', 'NYSE', false), ('NYSE without Finance', 'NYSE', true),
                         ('ALL', 'ALL', false), ('ALL without Finance', 'ALL', true))
@@ -103,8 +116,9 @@ stock AS (
   FROM sv JOIN pops ON NOT no_finance OR industry <> 'Finance'),
 me_q AS (
   SELECT sorting_date, population,
-         list_sort(list_distinct(quantile_cont(me, [0, 1/3, 2/3, 1]) FILTER (WHERE member))) AS q
-  FROM stock GROUP BY 1, 2),
+         list_sort(list_distinct({_at_ranks('v', '[0, 1/3, 2/3, 1]')})) AS q
+  FROM (SELECT sorting_date, population, list_sort(list(me) FILTER (WHERE member)) AS v
+        FROM stock GROUP BY 1, 2)),
 sized AS (
   SELECT stock.*, CASE WHEN len(q) >= 2
       THEN 1 + len(list_filter(q[2:len(q) - 1], lambda b: b <= me)) END AS size_id
@@ -114,10 +128,10 @@ keyed AS (
   UNION ALL
   SELECT *, true, size_id FROM sized WHERE size_id IS NOT NULL),
 tenths AS (
-  SELECT sorting_date, population, dependent, grp,
-         quantile_cont(bm, [0, 1/10, 2/10, 3/10, 4/10, 5/10, 6/10, 7/10, 8/10, 9/10, 1])
-           FILTER (WHERE member) AS q
-  FROM keyed GROUP BY ALL),
+  SELECT sorting_date, population, dependent, grp, {_at_ranks('v', TENTHS)} AS q
+  FROM (SELECT sorting_date, population, dependent, grp,
+               list_sort(list(bm) FILTER (WHERE member)) AS v
+        FROM keyed GROUP BY ALL)),
 bm_q AS (
   SELECT sorting_date, population, dependent, grp, n_portfolios,
          list_sort(list_distinct(CASE n_portfolios WHEN 2 THEN [q[1], q[6], q[11]]

@@ -10,21 +10,21 @@ from pyspark.sql import functions as F
 from ..functions import in_universe, inner_breaks, interior_breaks
 from ..workspace import stage
 
-# rows of one group that an aggregation buffer may hold
-HASH_GROUP_ROWS = 250_000
+# rows of one group that a list in one task may hold
+COLLECT_GROUP_ROWS = 250_000
 # value ranges into which the ranked method splits each group
 FENCES = 512
 
 
-def quantile_method(df: DataFrame, by: Sequence[str], limit: int = HASH_GROUP_ROWS) -> str:
-    """"hash" when every group of ``df`` has at most ``limit`` rows, else "ranked".
+def quantile_method(df: DataFrame, by: Sequence[str], limit: int = COLLECT_GROUP_ROWS) -> str:
+    """"collect" when every group of ``df`` has at most ``limit`` rows, else "ranked".
 
     Runs a count, so ``df`` should be a written table.
     """
     if df.count() <= limit:
-        return "hash"
+        return "collect"
     largest = df.groupBy(*by).count().agg(F.max("count")).first()[0]
-    return "hash" if largest is None or largest <= limit else "ranked"
+    return "collect" if largest is None or largest <= limit else "ranked"
 
 
 def quantiles(
@@ -42,35 +42,47 @@ def quantiles(
     ``q`` is null for a population without values in a group.  Null values are
     ignored.
 
-    ``method="hash"`` holds the distinct values of a group in one buffer and
-    suits groups of a checked size.  ``method="ranked"`` selects the order
+    ``method="collect"`` sorts the values of a group in one buffer and suits groups
+    of a checked size.  ``method="ranked"`` selects the order
     statistics by distributed counting and has no such limit.  "auto" counts the
     rows and picks one; both return the same numbers.
     """
     populations = populations or {"all": F.lit(True)}
     if method == "auto":
         method = quantile_method(df, by)
-    if method == "hash":
-        return _hash_quantiles(df, value, probs, by, populations)
+    if method == "collect":
+        return _collected_quantiles(df, value, probs, by, populations)
     if method == "ranked":
         return _ranked_quantiles(df, value, probs, by, populations)
     raise ValueError(f"method must be 'auto', 'hash' or 'ranked', not {method!r}")
 
 
-def _hash_quantiles(df, value, probs, by, populations) -> DataFrame:
-    points = F.array(*[F.lit(float(p)) for p in probs])
+def _interpolated(low: Column, high: Column, position: Column) -> Column:
+    """Value at a fractional rank between two neighbouring order statistics."""
+    return low + (position - F.floor(position)) * (high - low)
+
+
+def _collected_quantiles(df, value, probs, by, populations) -> DataFrame:
     names = list(populations)
-    wide = df.groupBy(*by).agg(
+    lists = df.groupBy(*by).agg(
         *[
-            F.percentile(F.when(populations[name], F.col(value)), points).alias(f"q{i}")
+            F.sort_array(F.collect_list(F.when(populations[name], F.col(value)))).alias(f"v{i}")
             for i, name in enumerate(names)
         ]
     )
-    rows = [
-        F.struct(F.lit(name).alias("population"), F.col(f"q{i}").alias("q"))
-        for i, name in enumerate(names)
-    ]
-    return wide.select(*by, F.inline(F.array(*rows)))
+
+    def quantile(values: Column, p: float) -> Column:
+        position = (F.size(values) - 1) * F.lit(float(p))
+        low = F.get(values, F.floor(position).cast("int"))
+        high = F.get(values, F.ceil(position).cast("int"))
+        return _interpolated(low, high, position)
+
+    rows = []
+    for i, name in enumerate(names):
+        values = F.col(f"v{i}")
+        q = F.when(F.size(values) > 0, F.array(*[quantile(values, p) for p in probs]))
+        rows.append(F.struct(F.lit(name).alias("population"), q.alias("q")))
+    return lists.select(*by, F.inline(F.array(*rows)))
 
 
 def count_below(
@@ -204,10 +216,9 @@ def _ranked_quantiles(df, value, probs, by, populations) -> DataFrame:
     )
     low, high = F.min_by("_x", "_rank"), F.max_by("_x", "_rank")
     position = F.first("_position")
-    interpolated = F.when(low == high, low).otherwise(
-        (F.ceil(position) - position) * low + (position - F.floor(position)) * high
+    by_point = found.groupBy(*by, "_pop", "_k").agg(
+        _interpolated(low, high, position).alias("_value")
     )
-    by_point = found.groupBy(*by, "_pop", "_k").agg(interpolated.alias("_value"))
     listed = by_point.groupBy(*by, "_pop").agg(
         F.array_sort(F.collect_list(F.struct("_k", "_value"))).alias("_points")
     )

@@ -11,6 +11,9 @@ from .cross_section import bin_number, breakpoints, quantile_method
 
 SORT_DATE = ("sorting_date",)
 
+# fixed values: the exchanges whose stocks set the breaks unless others are named
+LISTED = ("NYSE", "NASDAQ", "AMEX")
+
 
 def assign_quantile(
     df: DataFrame,
@@ -54,7 +57,7 @@ def double_sort(
 def univariate_sort(
     sv: DataFrame,
     n: int = 5,
-    universe: Sequence[str] | None = None,
+    universe: Sequence[str] | None = LISTED,
     method: str = "auto",
 ) -> DataFrame:
     """Add ``portfolio`` by book-to-market; the universe sets the breaks, bins [a, b)."""
@@ -64,7 +67,7 @@ def univariate_sort(
 def conditional_sort(
     sv: DataFrame,
     n: int = 5,
-    universe: Sequence[str] | None = None,
+    universe: Sequence[str] | None = LISTED,
     n_size: int = 3,
     pool: bool = True,
     method: str = "auto",

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import clean_double, in_universe, interior_breaks
 from ..operators.cross_section import bin_number, count_below, quantile_method, quantiles
 from ..operators.inference import capm_alpha, newey_west_mean
-from ..operators.portfolios import SORT_DATE
+from ..operators.portfolios import LISTED, SORT_DATE
 from ..operators.premium import high_minus_low
 from ..operators.returns import SUMS, cell_sums, returns_from_sums, stack_weightings
 from ..workspace import stage
@@ -60,7 +60,7 @@ class GridAxes:
 
     n_portfolios: Sequence[int] = (2, 5, 10)
     universes: dict[str, Sequence[str]] = field(
-        default_factory=lambda: {"NYSE": ("NYSE",), "ALL": ("NYSE", "NASDAQ", "AMEX")}
+        default_factory=lambda: {"NYSE": ("NYSE",), "ALL": LISTED}
     )
     weightings: Sequence[str] = ("value", "equal")
     dependent: Sequence[bool] = (True, False)

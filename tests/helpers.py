@@ -51,9 +51,7 @@ def linear_quantile(values, p):
     values = sorted(values)
     position = (len(values) - 1) * p
     low, high = values[math.floor(position)], values[math.ceil(position)]
-    if low == high:
-        return low
-    return (math.ceil(position) - position) * low + (position - math.floor(position)) * high
+    return low + (position - math.floor(position)) * (high - low)
 
 
 def exchange_bins(members, everyone, n):

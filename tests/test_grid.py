@@ -39,7 +39,7 @@ def samples(sv):
     ]
 
 
-@pytest.mark.parametrize("ties,method", [(False, "hash"), (True, "hash"), (True, "ranked")])
+@pytest.mark.parametrize("ties,method", [(False, "collect"), (True, "collect"), (True, "ranked")])
 def test_grid_equals_one_specification_at_a_time(spark, ties, method):
     sv, rets, mkt, frames = market(spark, seed=11, ties=ties)
     rows = plans.run_grid(*frames, method=method).collect()
