@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +37,19 @@ class _Study(plans.Study):
         return plans.design_premiums(self.sorting_variables, self.returns)
 
 
+def _still_written(known: _Study) -> bool:
+    folder = known.panel.inputFiles()[0].rsplit("/cal_month=", 1)[0]
+    try:
+        known.panel.sparkSession.read.schema(known.panel.schema).parquet(folder)
+    except AnalysisException:
+        return False
+    return True
+
+
 def study(spark: SparkSession, sf_dir: str) -> _Study:
-    """The study of a folder; derived again when a source file has changed."""
+    """The study of a folder; derived again when a source file has changed or its copy is gone."""
     key = (spark.conf.get("spark.app.id"), sf_dir, source_signature(spark, sf_dir))
-    if key not in _studies:
+    if key not in _studies or not _still_written(_studies[key]):
         _studies[key] = _Study(*market_tables(spark, sf_dir))
     return _studies[key]
 
@@ -229,6 +239,11 @@ def grid_series(s: _Study) -> DataFrame:
     return _rounded(plans.grid_series(s.sorting_variables, s.returns, AXES), value_premium=10)
 
 
+def value_premium(s: _Study) -> DataFrame:
+    rows = plans.value_premium(s.sorting_variables, s.returns, s.factors)
+    return _rounded(rows.drop("_order"), **TEST_DIGITS)
+
+
 def grid_results(s: _Study) -> DataFrame:
     return _rounded(s.grid(AXES).drop("_order"), **TEST_DIGITS)
 
@@ -285,6 +300,7 @@ QUERIES: list[Callable[[_Study], DataFrame]] = [
     gap_check,
     spec_coverage,
     grid_series,
+    value_premium,
     grid_results,
     significance_flags,
     estimate_histogram,

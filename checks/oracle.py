@@ -386,6 +386,12 @@ def oracle_sql() -> dict[str, str]:
                       round(value_premium, 10) + 0.0 AS value_premium, n_portfolios_present
                FROM series""",
         ),
+        "value_premium": _sql(
+            results,
+            """SELECT test, round(estimate, 10) + 0.0 AS estimate, round(t_stat, 8) + 0.0 AS t_stat
+               FROM grid_results WHERE universe = 'ALL' AND n_portfolios = 5 AND NOT dependent
+                 AND weighting = 'value' AND sample = 'full'""",
+        ),
         "grid_results": _sql(
             results,
             """SELECT spec_id, n_portfolios, universe, weighting, dependent, sample, test,

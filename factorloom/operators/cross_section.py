@@ -57,11 +57,6 @@ def quantiles(
     raise ValueError(f"method must be 'auto', 'hash' or 'ranked', not {method!r}")
 
 
-def _interpolated(low: Column, high: Column, position: Column) -> Column:
-    """Value at a fractional rank between two neighbouring order statistics."""
-    return low + (position - F.floor(position)) * (high - low)
-
-
 def _collected_quantiles(df, value, probs, by, populations) -> DataFrame:
     names = list(populations)
     lists = df.groupBy(*by).agg(
@@ -70,17 +65,13 @@ def _collected_quantiles(df, value, probs, by, populations) -> DataFrame:
             for i, name in enumerate(names)
         ]
     )
-
-    def quantile(values: Column, p: float) -> Column:
-        position = (F.size(values) - 1) * F.lit(float(p))
-        low = F.get(values, F.floor(position).cast("int"))
-        high = F.get(values, F.ceil(position).cast("int"))
-        return _interpolated(low, high, position)
-
+    points = ", ".join(f"{float(p)!r}D" for p in probs)
     rows = []
     for i, name in enumerate(names):
-        values = F.col(f"v{i}")
-        q = F.when(F.size(values) > 0, F.array(*[quantile(values, p) for p in probs]))
+        rank = f"(size(v{i}) - 1) * p"
+        low, high = (f"get(v{i}, cast({cut}({rank}) AS int))" for cut in ("floor", "ceil"))
+        at_rank = f"p -> {low} + ({rank} - floor({rank})) * ({high} - {low})"
+        q = F.expr(f"if(size(v{i}) > 0, transform(array({points}), {at_rank}), NULL)")
         rows.append(F.struct(F.lit(name).alias("population"), q.alias("q")))
     return lists.select(*by, F.inline(F.array(*rows)))
 
@@ -217,7 +208,7 @@ def _ranked_quantiles(df, value, probs, by, populations) -> DataFrame:
     low, high = F.min_by("_x", "_rank"), F.max_by("_x", "_rank")
     position = F.first("_position")
     by_point = found.groupBy(*by, "_pop", "_k").agg(
-        _interpolated(low, high, position).alias("_value")
+        (low + (position - F.floor(position)) * (high - low)).alias("_value")
     )
     listed = by_point.groupBy(*by, "_pop").agg(
         F.array_sort(F.collect_list(F.struct("_k", "_value"))).alias("_points")

@@ -7,22 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import equal_weighted, value_weighted
+
 # sums that add up over finer groups: sum(r*w), sum(w), sum(r), count(r)
 SUMS = ("sum_rw", "sum_w", "sum_r", "n_r")
 
 
+def governed_returns(assigned: DataFrame, returns: DataFrame) -> DataFrame:
+    """Stocks with the monthly returns that their sort governs.
+
+    The join on stock and sort date moves each return once.
+    """
+    return assigned.join(returns, ["permno", "sorting_date"], "inner")
+
+
 def cell_sums(
     assigned: DataFrame, returns: DataFrame, by: Sequence[str], extra: Sequence[Column] = ()
 ) -> DataFrame:
-    """Join stocks with the returns their sort governs and sum per date and cell.
+    """Sums of the governed returns per date and cell.
 
-    The join on stock and sort date moves each return once; the sums are
-    combined before the next shuffle, so a hot date or portfolio costs no more
-    than one row per task.
+    They are combined before the shuffle, so a hot date or cell costs no more
+    than one row per task, and they can be added up to coarser portfolios.
     """
     ret, weight = F.col("ret_excess"), F.col("mktcap_lag")
     return (
-        assigned.join(returns, ["permno", "sorting_date"], "inner")
+        governed_returns(assigned, returns)
         .groupBy("date", *by)
         .agg(
             F.sum(ret * weight).alias("sum_rw"),
@@ -68,8 +77,9 @@ def portfolio_returns(
     """
     if weight not in ("value", "equal", "both"):
         raise ValueError(f"weight must be 'value', 'equal' or 'both', not {weight!r}")
-    keys = ["date", *by]
-    both = returns_from_sums(cell_sums(assigned, returns, by), keys)
+    weighted = value_weighted(F.col("ret_excess"), F.col("mktcap_lag"))
+    plain = equal_weighted(F.col("ret_excess"))
+    by_portfolio = governed_returns(assigned, returns).groupBy("date", *by)
     if weight == "both":
-        return stack_weightings(both)
-    return both.select(*keys, F.col("ret_vw" if weight == "value" else "ret_ew").alias("ret"))
+        return stack_weightings(by_portfolio.agg(weighted.alias("ret_vw"), plain.alias("ret_ew")))
+    return by_portfolio.agg((weighted if weight == "value" else plain).alias("ret"))

@@ -77,25 +77,27 @@ def latest_fundamentals(fundamentals: DataFrame) -> DataFrame:
 
 
 def dedupe_cross_section(df: DataFrame) -> DataFrame:
-    """One row per stock and sort date: the latest fiscal year-end wins.
+    """One row per stock and sort date: the latest fiscal year-end, if there is one, wins.
 
     Further ties go to the largest remaining values, so the result does not
     depend on the order of the input.
     """
     keys = ["permno", "sorting_date"]
-    order = ["datadate", "gvkey"]
+    order = [c for c in ("datadate", "gvkey") if c in df.columns]
     order += [c for c in df.columns if c not in keys + order]
     best = df.groupBy(*keys).agg(F.max(F.struct(*order)).alias("best"))
     return best.select(*keys, "best.*")
 
 
 def sorting_variables(size: DataFrame, bm: DataFrame) -> DataFrame:
-    """Annual cross-sections with size and book-to-market, complete and unique."""
-    both = (
-        size.filter(F.col("me").isNotNull())
-        .join(bm.filter(F.col("bm").isNotNull()), on=["permno", "sorting_date"], how="inner")
-    )
-    return dedupe_cross_section(both).select(
+    """Annual cross-sections with size and book-to-market, complete and unique.
+
+    Each side is made unique before the join, on the join keys: the best pair of
+    a stock is the pair of the best rows, and copies of a key never multiply.
+    """
+    known_size = dedupe_cross_section(size.filter(F.col("me").isNotNull()))
+    known_bm = dedupe_cross_section(bm.filter(F.col("bm").isNotNull()))
+    return known_size.join(known_bm, on=["permno", "sorting_date"], how="inner").select(
         "permno", "exchange", "industry", "sorting_date", "me", "bm"
     )
 

@@ -9,6 +9,7 @@ from .grid import (
     run_grid,
     spec_coverage,
     spec_grid,
+    value_premium,
 )
 from .report import estimate_histogram, grid_summary, reference_lines
 from .study import Study, run_study
@@ -28,4 +29,5 @@ __all__ = [
     "run_study",
     "spec_coverage",
     "spec_grid",
+    "value_premium",
 ]

@@ -341,3 +341,25 @@ def run_grid(
     return rows.join(found, ["spec_id", "test"], "left").withColumn(
         "n_obs", F.coalesce("n_obs", F.lit(0))
     )
+
+
+def value_premium(
+    sv: DataFrame,
+    returns: DataFrame,
+    factors: DataFrame,
+    n_portfolios: int = 5,
+    exchanges: Sequence[str] = LISTED,
+    value_weighted: bool = True,
+    dependent_sort: bool = False,
+    method: str = "auto",
+) -> DataFrame:
+    """Both tests of one specification: two rows ``test, estimate, t_stat``."""
+    axes = GridAxes(
+        n_portfolios=(n_portfolios,),
+        universes={"chosen": exchanges},
+        weightings=("value" if value_weighted else "equal",),
+        dependent=(dependent_sort,),
+        samples=(Sample("full"),),
+    )
+    rows = run_grid(sv, returns, factors, axes, method=method)
+    return rows.select("test", "estimate", "t_stat", "_order")

@@ -14,7 +14,15 @@ from ..operators.timing import (
     return_periods,
     sorting_variables,
 )
-from ..sources import load_factors, load_fundamentals, load_stock_panel, write_report, write_table
+from ..sources import (
+    load_factors,
+    load_fundamentals,
+    load_stock_panel,
+    read_factors,
+    tidy_factors,
+    write_report,
+    write_table,
+)
 from ..workspace import stage
 from .comparison import premium_comparison
 from .grid import GridAxes, run_grid
@@ -64,12 +72,13 @@ def run_study(
     axes: GridAxes | None = None,
 ) -> None:
     """Read the three tables, run both analyses and write all results below ``out_dir``."""
-    factors = load_factors(spark, factors_path, factors_format, first_year, last_year)
-    write_table(factors, f"{out_dir}/clean/factors_monthly")
+    clean = f"{out_dir}/clean/factors_monthly"
+    raw = read_factors(spark, factors_path, factors_format)
+    write_table(tidy_factors(raw, first_year, last_year), clean)
     study = Study(
         load_stock_panel(spark, panel_path),
         load_fundamentals(spark, fundamentals_path),
-        spark.read.parquet(f"{out_dir}/clean/factors_monthly"),
+        load_factors(spark, clean, first_year=first_year, last_year=last_year),
     )
     tables = f"{out_dir}/tables"
     write_report(study.comparison(), f"{tables}/value_premium_comparison", ("_order",))

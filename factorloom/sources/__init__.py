@@ -9,6 +9,7 @@ from .tables import (
     load_factors,
     load_fundamentals,
     load_stock_panel,
+    read_factors,
     tidy_factors,
     write_report,
     write_table,
@@ -24,6 +25,7 @@ __all__ = [
     "load_fundamentals",
     "load_stock_panel",
     "market_tables",
+    "read_factors",
     "tidy_factors",
     "write_report",
     "write_table",

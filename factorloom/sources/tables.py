@@ -78,6 +78,17 @@ def tidy_factors(raw: DataFrame, first_year: int = 1970, last_year: int = 2025)
     return raw.filter(in_years).withColumn("date", month_start(F.col("date")))
 
 
+def read_factors(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
+    """Published factor returns as staged, with all columns."""
+    if file_format == "parquet":
+        return spark.read.parquet(path)
+    if file_format == "csv":
+        # columns are found by their header name; all but the date are cast on use
+        raw = spark.read.option("header", True).csv(path)
+        return raw.withColumn("date", F.col("date").cast("date"))
+    raise ValueError(f"file_format must be 'parquet' or 'csv', not {file_format!r}")
+
+
 def load_factors(
     spark: SparkSession,
     path: str,
@@ -85,15 +96,8 @@ def load_factors(
     first_year: int = 1970,
     last_year: int = 2025,
 ) -> DataFrame:
-    """Published monthly factor returns from a staged Parquet or CSV file."""
-    if file_format == "parquet":
-        raw = spark.read.parquet(path)
-    elif file_format == "csv":
-        # a CSV schema is positional, so the columns are read by their header name
-        raw = spark.read.option("header", True).csv(path)
-        raw = raw.withColumn("date", F.col("date").cast("date"))
-    else:
-        raise ValueError(f"file_format must be 'parquet' or 'csv', not {file_format!r}")
+    """Monthly market and value factor of the given years."""
+    raw = read_factors(spark, path, file_format)
     return conform(tidy_factors(raw, first_year, last_year), FACTORS)
 
 

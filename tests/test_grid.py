@@ -211,3 +211,41 @@ def test_reference_lines(spark):
     alpha, _ = ols_newey_west([r.hml for r in rows], [r.mkt_excess for r in rows])
     assert math.isclose(got["CAPM-alpha"], alpha, rel_tol=1e-9)
     assert math.isclose(got["Newey-West"], sum(r.hml for r in rows) / len(rows), rel_tol=1e-9)
+
+
+def test_one_specification_equals_its_row_of_the_grid(spark):
+    _, _, _, frames = market(spark, seed=20)
+    whole = {(r.spec_id, r.test): r for r in plans.run_grid(*frames).collect()}
+    for spec_id, options in (
+        (52, {}),
+        (0, {"n_portfolios": 2, "exchanges": ["NYSE"], "dependent_sort": True}),
+    ):
+        rows = plans.value_premium(*frames, **options).orderBy("_order").collect()
+        assert [r.test for r in rows] == ["Newey-West", "CAPM-alpha"]
+        for r in rows:
+            assert math.isclose(r.estimate, whole[spec_id, r.test].estimate, abs_tol=1e-13)
+            assert math.isclose(r.t_stat, whole[spec_id, r.test].t_stat, rel_tol=1e-8)
+
+
+@pytest.mark.parametrize("method", ["collect", "ranked"])
+def test_shuffled_joins_give_the_same_grid(spark, method):
+    _, _, _, (sv, rets, factors) = market(spark, seed=22, n_stocks=40)
+    axes = plans.GridAxes(n_portfolios=(2, 5), weightings=("value",))
+
+    def run():
+        rows = plans.run_grid(sv, rets, factors, axes, method=method).collect()
+        return {(r.spec_id, r.test): r for r in rows}
+
+    usual = run()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        shuffled = run()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert usual.keys() == shuffled.keys()
+    for key, row in usual.items():
+        assert row.n_obs == shuffled[key].n_obs
+        assert row.estimate is None or math.isclose(
+            row.estimate, shuffled[key].estimate, abs_tol=1e-13
+        )

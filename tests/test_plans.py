@@ -10,6 +10,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry_points
+from checks import catalog
 from checks.catalog import study
 from factorloom import operators as ops
 from factorloom.sources.order_tables import supplier_months
@@ -88,3 +89,25 @@ def test_small_written_tables_are_broadcast_by_their_size(spark):
         assert "BroadcastHashJoin" not in plan_of(ops.univariate_sort(df, 5))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@needs_tables
+def test_a_changed_source_is_derived_again(spark, tmp_path):
+    for name in ("nation", "supplier", "lineitem"):
+        table = spark.read.parquet(f"{SF_DIR}/{name}.parquet")
+        table.write.parquet(str(tmp_path / f"{name}.parquet"))
+    first = study(spark, str(tmp_path))
+    before = first.panel.count()
+    fewer = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").filter("l_suppkey <> 1")
+    fewer.write.mode("overwrite").parquet(str(tmp_path / "lineitem.parquet"))
+    second = study(spark, str(tmp_path))
+    assert second is not first and 0 < second.panel.count() < before
+
+
+@needs_tables
+def test_a_lost_copy_is_noticed(spark, monkeypatch):
+    known = study(spark, SF_DIR)
+    assert catalog._still_written(known)
+    missing = ["file:/tmp/factorloom-missing/panel/cal_month=1/part-0.parquet"]
+    monkeypatch.setattr(type(known.panel), "inputFiles", lambda self: missing)
+    assert not catalog._still_written(known)

@@ -85,6 +85,22 @@ def test_many_copies_of_one_key_collapse(spark):
     assert got == {"G1": max(r[2] for r in rows if r[0] == "G1" and r[1].month == 12), "G2": 7.0}
 
 
+def test_copies_of_one_stock_do_not_multiply(spark):
+    n = 3000
+    size = spark.range(n).selectExpr(
+        "1L as permno", "'NYSE' as exchange", "'Other' as industry",
+        "date'2020-07-01' as sorting_date", "cast(id as double) as me",
+    )
+    bm = spark.range(n).selectExpr(
+        "1L as permno", "date'2020-07-01' as sorting_date", "cast(id as double) as bm",
+        "date'2019-01-31' + cast(id % 300 as int) as datadate", "cast(id as string) as gvkey",
+    )
+    got = ops.sorting_variables(size, bm).collect()
+    assert [(r.me, r.bm) for r in got] == [(2999.0, 899.0)]
+    plan = ops.sorting_variables(size, bm)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
+
+
 def test_null_firm_never_joins(spark):
     panel = spark.createDataFrame(
         [(1, None, D(2019, 12, 1), "NYSE", "Other", 3.0, None, None)], STOCK_SCHEMA
