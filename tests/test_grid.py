@@ -229,8 +229,8 @@ def test_one_specification_equals_its_row_of_the_grid(spark):
 
 @pytest.mark.parametrize("method", ["collect", "ranked"])
 def test_shuffled_joins_give_the_same_grid(spark, method):
-    _, _, _, (sv, rets, factors) = market(spark, seed=22, n_stocks=40)
-    axes = plans.GridAxes(n_portfolios=(2, 5), weightings=("value",))
+    _, _, _, (sv, rets, factors) = market(spark, seed=22, n_stocks=30, years=(1989, 1990))
+    axes = plans.GridAxes(n_portfolios=(3,), weightings=("value",), samples=(plans.Sample("full"),))
 
     def run():
         rows = plans.run_grid(sv, rets, factors, axes, method=method).collect()
