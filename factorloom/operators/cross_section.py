@@ -10,21 +10,18 @@ from pyspark.sql import functions as F
 from ..functions import in_universe, inner_breaks, interior_breaks
 from ..workspace import stage
 
-# rows of one group that a list in one task may hold
-COLLECT_GROUP_ROWS = 250_000
+# rows of a whole table up to which its groups may be sorted in single tasks
+COLLECT_ROWS = 1_000_000
 # value ranges into which the ranked method splits each group
 FENCES = 512
 
 
-def quantile_method(df: DataFrame, by: Sequence[str], limit: int = COLLECT_GROUP_ROWS) -> str:
-    """"collect" when every group of ``df`` has at most ``limit`` rows, else "ranked".
+def quantile_method(df: DataFrame, limit: int = COLLECT_ROWS) -> str:
+    """"collect" when ``df`` has at most ``limit`` rows in all groups together, else "ranked".
 
-    Runs a count, so ``df`` should be a written table.
+    Runs a count, which for a written table reads file footers only.
     """
-    if df.count() <= limit:
-        return "collect"
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0]
-    return "collect" if largest is None or largest <= limit else "ranked"
+    return "collect" if df.count() <= limit else "ranked"
 
 
 def quantiles(
@@ -42,19 +39,19 @@ def quantiles(
     ``q`` is null for a population without values in a group.  Null values are
     ignored.
 
-    ``method="collect"`` sorts the values of a group in one buffer and suits groups
-    of a checked size.  ``method="ranked"`` selects the order
-    statistics by distributed counting and has no such limit.  "auto" counts the
-    rows and picks one; both return the same numbers.
+    ``method="collect"`` sorts each group in one task, for tables of a checked
+    size.  ``method="ranked"`` finds the order statistics by distributed counting,
+    for any size.  "auto" counts the rows of ``df`` and picks one.  Both return
+    the same numbers.
     """
     populations = populations or {"all": F.lit(True)}
     if method == "auto":
-        method = quantile_method(df, by)
+        method = quantile_method(df)
     if method == "collect":
         return _collected_quantiles(df, value, probs, by, populations)
     if method == "ranked":
         return _ranked_quantiles(df, value, probs, by, populations)
-    raise ValueError(f"method must be 'auto', 'hash' or 'ranked', not {method!r}")
+    raise ValueError(f"method must be 'auto', 'collect' or 'ranked', not {method!r}")
 
 
 def _collected_quantiles(df, value, probs, by, populations) -> DataFrame:

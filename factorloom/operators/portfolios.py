@@ -48,7 +48,7 @@ def double_sort(
     With ``dependent`` the book-to-market breaks are those of the size portfolio.
     """
     if method == "auto":
-        method = quantile_method(sv, SORT_DATE)
+        method = quantile_method(sv)
     sized = assign_quantile(sv, "me", n_size, out="portfolio_me", method=method)
     by = ["sorting_date", "portfolio_me"] if dependent else ["sorting_date"]
     return assign_quantile(sized, "bm", n_bm, by, out="portfolio_bm", method=method)
@@ -78,7 +78,7 @@ def conditional_sort(
     portfolios of all sizes form one.
     """
     if method == "auto":
-        method = quantile_method(sv, SORT_DATE)
+        method = quantile_method(sv)
     sized = assign_quantile(
         sv, "me", n_size, universe=universe, closed="left", out="portfolio_me", method=method
     )

@@ -19,7 +19,7 @@ def design_premiums(sv: DataFrame, returns: DataFrame, method: str = "auto") ->
     are told apart only on the sums per date and cell (at most 27 a month).
     """
     if method == "auto":
-        method = quantile_method(sv, SORT_DATE)
+        method = quantile_method(sv)
     ids = assign_quantile(sv, "me", 3, out="portfolio_me", method=method)
     ids = assign_quantile(ids, "bm", 3, out="bm_independent", method=method)
     ids = assign_quantile(

@@ -192,11 +192,8 @@ def _with_cells(
             F.array_sort(F.array_distinct(together)).alias(out)
         )
 
-    cuts = stage(
-        merged(size, "me_breaks", "me_cuts").join(
-            merged(bm, "breaks", "bm_cuts"), "sorting_date", "left"
-        ),
-        "cuts",
+    cuts = merged(size, "me_breaks", "me_cuts").join(
+        merged(bm, "breaks", "bm_cuts"), "sorting_date", "left"
     )
     per_population = sum(n - 1 for n in axes.n_portfolios) * (1 + N_SIZE)
     n_populations = len(axes.populations)
@@ -252,7 +249,7 @@ def grid_series(
     """
     sv = sv.withColumns({"me": clean_double(F.col("me")), "bm": clean_double(F.col("bm"))})
     if method == "auto":
-        method = quantile_method(sv, SORT_DATE)
+        method = quantile_method(sv)
     size, bm = _breaks(sv, axes, method)
     stocks, cell = _with_cells(sv, size, bm, axes)
     # all stocks of a cell share every portfolio, so any one of them stands for it
