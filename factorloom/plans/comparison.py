@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.cross_section import quantile_method
+from ..operators.cross_section import bin_number, breakpoints, quantile_method
 from ..operators.portfolios import SORT_DATE, assign_quantile
 from ..operators.premium import high_minus_low, mean_premium, size_neutral
 from ..operators.returns import cell_sums, returns_from_sums
+from ..workspace import stage
 
 
 def design_premiums(sv: DataFrame, returns: DataFrame, method: str = "auto") -> DataFrame:
@@ -20,8 +21,15 @@ def design_premiums(sv: DataFrame, returns: DataFrame, method: str = "auto") ->
     """
     if method == "auto":
         method = quantile_method(sv)
-    ids = assign_quantile(sv, "me", 3, out="portfolio_me", method=method)
-    ids = assign_quantile(ids, "bm", 3, out="bm_independent", method=method)
+    me, bm = (
+        breakpoints(sv, value, 3, SORT_DATE, closed="right", method=method).withColumnRenamed(
+            "breaks", f"{value}_breaks"
+        )
+        for value in ("me", "bm")
+    )
+    ids = sv.join(stage(me.join(bm, "sorting_date"), "breaks"), "sorting_date")
+    ids = bin_number(ids, "me", "me_breaks", "portfolio_me", 3, "right")
+    ids = bin_number(ids, "bm", "bm_breaks", "bm_independent", 3, "right")
     ids = assign_quantile(
         ids, "bm", 3, ["sorting_date", "portfolio_me"], out="bm_dependent", method=method
     )
