@@ -195,6 +195,10 @@ def sort_conditional(s: _Study) -> DataFrame:
     return sorted_.select(*kept).filter("portfolio IS NOT NULL")
 
 
+def unassigned_counts(s: _Study) -> DataFrame:
+    return ops.unassigned_counts(ops.conditional_sort(s.sorting_variables, 10, ["NYSE"]))
+
+
 def returns_vw_ew(s: _Study) -> DataFrame:
     sorted_ = ops.univariate_sort(s.sorting_variables, 5, ["NYSE"]).filter("portfolio IS NOT NULL")
     return _rounded(ops.portfolio_returns(sorted_, s.returns, weight="both"), ret=10)
@@ -292,6 +296,7 @@ QUERIES: list[Callable[[_Study], DataFrame]] = [
     exchange_breakpoints_ranked,
     sort_univariate,
     sort_conditional,
+    unassigned_counts,
     returns_vw_ew,
     high_minus_low,
     newey_west_mean,

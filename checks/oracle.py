@@ -337,6 +337,15 @@ def oracle_sql() -> dict[str, str]:
                FROM assigned
                WHERE population = 'ALL' AND dependent AND n_portfolios = 5""",
         ),
+        "unassigned_counts": _sql(
+            grid,
+            """SELECT sorting_date, count(*) AS n_stocks,
+                      count(*) FILTER (WHERE portfolio IS NULL) AS n_unassigned
+               FROM sized LEFT JOIN (SELECT permno, sorting_date, population, portfolio
+                                     FROM assigned WHERE dependent AND n_portfolios = 10)
+                 USING (permno, sorting_date, population)
+               WHERE population = 'NYSE' GROUP BY 1""",
+        ),
         "returns_vw_ew": _sql(
             grid,
             """SELECT date, portfolio, weighting, round(ret, 10) + 0.0 AS ret FROM grid_rets

@@ -2,7 +2,13 @@
 
 from .cross_section import breakpoints, count_below, quantile_method, quantiles
 from .inference import capm_alpha, gap_check, newey_west_mean
-from .portfolios import assign_quantile, conditional_sort, double_sort, univariate_sort
+from .portfolios import (
+    assign_quantile,
+    conditional_sort,
+    double_sort,
+    unassigned_counts,
+    univariate_sort,
+)
 from .premium import flag_significant, high_minus_low, mean_premium, size_neutral
 from .returns import cell_sums, portfolio_returns, returns_from_sums
 from .timing import (
@@ -40,5 +46,6 @@ __all__ = [
     "returns_from_sums",
     "size_neutral",
     "sorting_variables",
+    "unassigned_counts",
     "univariate_sort",
 ]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..workspace import stage
 from .cross_section import bin_number, breakpoints, quantile_method
@@ -85,3 +86,17 @@ def conditional_sort(
     by = ["sorting_date", "portfolio_me"]
     both = assign_quantile(sized, "bm", n, by, universe=universe, closed="left", method=method)
     return both.drop("portfolio_me") if pool else both
+
+
+def unassigned_counts(
+    assigned: DataFrame, by: Sequence[str] = SORT_DATE, portfolio: str = "portfolio"
+) -> DataFrame:
+    """Stocks per group, and how many have no portfolio.
+
+    A stock has none without a value, or when its universe has fewer than two
+    distinct values to set breaks.
+    """
+    return assigned.groupBy(*by).agg(
+        F.count("*").alias("n_stocks"),
+        F.count_if(F.col(portfolio).isNull()).alias("n_unassigned"),
+    )

@@ -81,6 +81,14 @@ def test_empty_or_constant_universe_gives_null(spark, method):
     assert bins(ops.univariate_sort(one, 2, ["NYSE"], method=method)) == [None] * 3
 
 
+def test_stocks_without_portfolio_are_counted(spark):
+    none = cross_section(spark, [1.0, 2.0, 3.0], ["AMEX"] * 3)
+    some = cross_section(spark, [1.0, None, 3.0], date=dt.date(2001, 7, 1))
+    df = ops.univariate_sort(none.unionByName(some), 2, ["NYSE"])
+    got = {r.sorting_date.year: (r.n_stocks, r.n_unassigned) for r in ops.unassigned_counts(df).collect()}
+    assert got == {2000: (3, 3), 2001: (3, 1)}
+
+
 @pytest.mark.parametrize("method", METHODS)
 def test_null_value_has_no_portfolio(spark, method):
     df = cross_section(spark, [1.0, None, 3.0])
