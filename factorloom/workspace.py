@@ -10,27 +10,23 @@ below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folders: dict[str, str] = {}
-
 
 def workspace_dir(spark: SparkSession) -> str:
-    """Folder for scratch tables of this application."""
-    app_id = spark.conf.get("spark.app.id")
+    """Folder for scratch tables of this application.
+
+    It lies below the folder that ``spark.checkpoint.dir`` names, or that
+    ``SparkContext.setCheckpointDir`` was given; without either there is none.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError(
-                "set spark.checkpoint.dir to a folder that every executor can reach"
-            )
-        if app_id not in _local_folders:
-            _local_folders[app_id] = tempfile.mkdtemp(prefix="factorloom-")
-        shared = _local_folders[app_id]
-    return f"{shared.rstrip('/')}/factorloom/{app_id}"
+        shared = spark.sparkContext.getCheckpointDir()
+    if not shared:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    return f"{shared.rstrip('/')}/factorloom/{spark.conf.get('spark.app.id')}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
