@@ -167,7 +167,7 @@ def matches(
     lookups = stage(lookup_terms(docs, windows, rare_terms), "window-lookups")
     index = positional_index(docs, lookups)
     near = stage(intersect_lists(index, lookups, shift), "phrase-candidates")
-    exact = phrase_matches(docs, windows, near.filter("exact").drop("exact"))
+    exact = phrase_matches(docs, windows, near.filter("exact AND start >= 0").drop("exact"))
     return stage(exact, "phrase-matches"), near.join(windows, ["window_id", "n"])
 
 
