@@ -130,14 +130,13 @@ def intersect_lists(index: DataFrame, lookups: DataFrame, shift: int = 0) -> Dat
 
 
 def phrase_matches(docs: DataFrame, windows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates whose words equal the window's, with the items of the window."""
-    wanted = candidates.select("doc_id", "text_key").distinct()
+    """Candidates whose words equal the window's, with the items of the window.
+
+    Repeated rows give repeated matches.
+    """
+    wanted = stage(candidates.select("doc_id", "text_key").distinct(), "candidate-rows")
     rows = keyed(docs, words(F.col("text")).alias("w"))
-    texts = (
-        rows.join(wanted, same_row(rows, wanted), "left_semi")
-        .groupBy("doc_id", "text_key")
-        .agg(F.first("w").alias("w"))
-    )
+    texts = rows.join(bounded_side(wanted, BROADCAST_ROWS), same_row(rows, wanted), "left_semi")
     here = candidates.join(windows, ["window_id", "n"])
     return (
         here.join(texts, same_row(here, texts))
