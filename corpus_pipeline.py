@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from factorloom.llm import decontaminate, jaccard_join, packing, queries, secret_scan, toxicity
 from factorloom.workspace import stage
@@ -22,8 +21,7 @@ from factorloom.workspace import stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
     model = queries.toxicity_model(docs, queries.table(spark, sf_dir, "labels"))
-    scored = docs.withColumn("_toxicity", toxicity.score(docs, model))
-    return scored.filter(F.col("_toxicity") < queries.TOXIC_SCORE).select(*docs.columns)
+    return docs.filter(toxicity.score(docs, model) < queries.TOXIC_SCORE)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +35,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked, ``n_chars`` counted again where something was masked."""
-    masked = secret_scan.redact(docs.withColumn("_before", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
-    if "n_chars" in docs.columns:
-        count = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        masked = masked.withColumn("n_chars", F.when(changed, count).otherwise(F.col("n_chars")))
-    return masked.select(*docs.columns)
+    """All documents, secrets masked."""
+    return secret_scan.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..workspace import stage
-from .text import bounded_side, keyed, same_row, words
+from .text import bounded_side, free_name, keyed, same_row, words
 
 #: Tables of the benchmark up to this many rows are broadcast, larger ones are shuffled.
 BROADCAST_ROWS = 500_000
@@ -213,11 +213,12 @@ def remove(
     """The documents without those that hold a window of an item, all columns kept."""
     exact, _ = matches(docs, benchmark, window, rare_terms, shift)
     found = stage(exact.select("doc_id", "text_key").distinct(), "contaminated")
+    found_id, found_key = free_name(docs, "found_id"), free_name(docs, "found_key")
     found = bounded_side(found, BROADCAST_ROWS).withColumnsRenamed(
-        {"doc_id": "_found_id", "text_key": "_found_key"}
+        {"doc_id": found_id, "text_key": found_key}
     )
-    here = (docs["doc_id"].cast("long").eqNullSafe(F.col("_found_id"))) & (
-        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_found_key")
+    here = (docs["doc_id"].cast("long").eqNullSafe(F.col(found_id))) & (
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(found_key)
     )
     return docs.join(found, here, "left_anti")
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..operators.cross_section import count_below
 from ..workspace import stage
-from .text import bounded_side, keyed
+from .text import bounded_side, free_name, keyed
 
 WORDS = 5
 PERCENT = 75
@@ -331,6 +331,7 @@ def keep_first(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) ->
     Rows with the same ``doc_id`` stay or go together; rows without one stay.
     """
     found = components(docs, n_words, percent).filter("doc_id <> component_id")
-    dropped = stage(found.select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    gone = docs["doc_id"].cast("long") == F.col("_dropped")
+    name = free_name(docs, "dropped_id")
+    dropped = stage(found.select(F.col("doc_id").alias(name)).distinct(), "dropped")
+    gone = docs["doc_id"].cast("long") == F.col(name)
     return docs.join(bounded_side(dropped, BROADCAST_ROWS), gone, "left_anti")

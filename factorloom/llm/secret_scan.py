@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import free_name
+
 KINDS = ("assign", "access", "hex", "der", "openssh", "jwt")
 
 _ASSIGN = re.compile(
@@ -141,32 +143,33 @@ def scan(docs: DataFrame, out: str = "spans") -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """The documents with every secret replaced by ``mask``; overlapping spans give one mask."""
-    spans = _spans(F.col("text"))
+    """The documents with every secret replaced by ``mask``; overlapping spans give one mask.
+
+    ``n_chars``, if there is one, is counted again where something was masked.
+    """
+    name = free_name(docs, "secret_spans")
+    marked = docs.withColumn(name, _spans(F.col("text")))
+    text, last = F.col("text"), F.lit(2147483647)
 
     def cut(at: Column, s: Column) -> Column:
-        fresh = F.concat(
-            at["text"],
-            F.substring(F.col("text"), at["upto"] + 1, s["start"] - at["upto"]),
-            F.lit(mask),
-        )
+        between = F.substring(text, at["upto"] + 1, s["start"] - at["upto"])
+        fresh = F.concat(at["text"], between, F.lit(mask))
         return F.struct(
             F.when(s["start"] >= at["upto"], fresh).otherwise(at["text"]).alias("text"),
             F.greatest(at["upto"], s["end"]).alias("upto"),
         )
 
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("upto"))
-    whole = F.aggregate(
-        F.col("_spans"),
-        start,
-        cut,
-        lambda at: F.concat(at["text"], F.substring(F.col("text"), at["upto"] + 1, F.lit(2147483647))),
+    masked = F.aggregate(
+        F.col(name), start, cut, lambda at: F.concat(at["text"], F.substring(text, at["upto"] + 1, last))
     )
-    columns = [c for c in docs.columns]
-    marked = docs.withColumn("_spans", spans)
-    return marked.withColumn(
-        "text", F.when(F.size("_spans") > 0, whole).otherwise(F.col("text"))
-    ).select(*columns)
+    found = F.size(name) > 0
+    changed = {"text": F.when(found, masked).otherwise(text)}
+    if "n_chars" in docs.columns:
+        count = F.char_length(masked).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(found, count).otherwise(F.col("n_chars"))
+    listed = [changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns]
+    return marked.select(*listed)
 
 
 def _listed(spans: Column) -> Column:

@@ -36,7 +36,7 @@ def uniform(*parts: Column) -> Column:
 
 
 def log_factorial(n: Column) -> Column:
-    """Stirling's series, shifted by 8 so that it holds to about 1e-13 for every n >= 0."""
+    """Stirling's series, shifted by 8 so that it holds to about 1e-9 for every n >= 0."""
     x = n + F.lit(9.0)
     series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x)
     series = series - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
