@@ -170,12 +170,15 @@ def ordered_sets(members: DataFrame, percent: int) -> DataFrame:
 
 
 def first_members(sets: DataFrame, percent: int) -> DataFrame:
-    """Written table (class, n, h, place): the n-grams of which linked classes share at least one."""
+    """Written table (class, n, alone, h, place): the n-grams of which linked classes share at least
+    one, with their place in the order of the class."""
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")
     cut = sets.select("class", "n", "alone", F.slice("members", F.lit(1), F.greatest(length, F.lit(0)).cast("int")).alias("m"))
     listed = cut.select("class", "n", "alone", F.posexplode("m").alias("pos", "x"))
     return stage(
-        listed.select("class", "n", F.col("x.h").alias("h"), (F.col("pos") + F.col("alone")).alias("place")),
+        listed.select(
+            "class", "n", "alone", F.col("x.h").alias("h"), (F.col("pos") + F.col("alone")).alias("place")
+        ),
         "first-members",
     )
 
@@ -197,9 +200,16 @@ def fragments_of(sets: DataFrame, n_fragments: int) -> DataFrame:
     )
 
 
-def may_link(a: str, b: str, percent: int) -> Column:
-    """The smaller set is large enough for the larger one."""
-    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+def may_link(percent: int) -> Column:
+    """Whether classes a and b can link if the n-gram at which they meet is their first in common.
+
+    The smaller set must be large enough for the larger one, and the n-grams from this place on must
+    make up the overlap.  Every linked pair meets at its first n-gram in common.
+    """
+    return F.expr(
+        f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND"
+        f" {100 + percent} * least(n_a - place_a, n_b - place_b) >= {percent} * (n_a + n_b)"
+    )
 
 
 def linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
@@ -271,41 +281,30 @@ def link_groups(firsts: DataFrame, fragments: DataFrame, percent: int, rounds: i
         )
         return stage(marked.join(mixed, "h"), "open-lists")
 
-    pair = ["a", "n_a", "b", "n_b"]
-    for number in range(rounds):
-        here = open_lists()
-        pivots = here.groupBy("h").agg(
-            F.min_by(F.struct("class", "n", "label"), F.xxhash64(F.lit(number), "class")).alias("pivot")
+    def candidates(here: DataFrame, other: DataFrame, unlike: str) -> DataFrame:
+        """Pairs of different groups that meet at an n-gram and may link."""
+        left = here.withColumnsRenamed(
+            {"class": "a", "n": "n_a", "place": "place_a", "label": "label_a"}
         )
-        pairs = (
-            here.join(pivots, "h")
-            .filter("label <> pivot.label")
-            .filter(may_link("n", "pivot.n", percent))
-            .select(
-                F.col("class").alias("a"), F.col("n").alias("n_a"),
-                F.col("pivot.class").alias("b"), F.col("pivot.n").alias("n_b"),
-            )
-            .distinct()
+        right = other.withColumnsRenamed(
+            {"class": "b", "n": "n_b", "place": "place_b", "label": "label_b"}
         )
+        met = left.join(right, "h").filter(unlike).filter(may_link(percent))
+        return met.select("a", "n_a", "b", "n_b").distinct()
+
+    columns = ["class", "n", "alone", "place", "label"]
+    for number in range(rounds):
+        here = open_lists()
+        # first the member with the smallest part of its own, the one most like all others; then any
+        chosen = F.xxhash64(F.lit(number), "class")
+        if number == 0:
+            chosen = F.struct(F.col("alone") / F.col("n"), chosen)
+        pivots = here.groupBy("h").agg(F.min_by(F.struct(*columns), chosen).alias("pivot"))
+        pairs = candidates(here, pivots.select("h", "pivot.*"), "label_a <> label_b")
         labels = _grouped(labels, stage(linked(pairs, fragments, percent), "links"))
-    # what is left: classes of different groups with a first n-gram in common
+    # what is left: classes of different groups that meet at an n-gram
     here = open_lists()
-    other = here.select(
-        "h", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"),
-        F.col("place").alias("place_b"),
-    )
-    pairs = (
-        here.withColumnsRenamed({"class": "a", "n": "n_a"})
-        .join(other, "h")
-        .filter("a < b AND label <> label_b")
-        .filter(may_link("n_a", "n_b", percent))
-        # members after this one can't make up the overlap: the pair meets elsewhere, or not at all
-        .filter(
-            F.expr(f"{100 + percent} * (least(n_a - place, n_b - place_b) + least(place, place_b)) >= {percent} * (n_a + n_b)")
-        )
-        .select(*pair)
-        .distinct()
-    )
+    pairs = candidates(here, here, "a < b AND label_a <> label_b")
     return _grouped(labels, stage(linked(pairs, fragments, percent), "links"))
 
 

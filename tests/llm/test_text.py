@@ -1,0 +1,260 @@
+"""Toxicity, language, secrets, page text and fingerprints."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from factorloom.llm import html_extract, imatch, language_id, secret_scan, toxicity
+from factorloom.llm.text import word_list
+
+# secrets
+
+
+def der(*fields):
+    body = b"".join(tag + bytes([len(x)]) + x for tag, x in fields)
+    return b"\x30\x82" + len(body).to_bytes(2, "big") + body
+
+
+KEY = der((b"\x02", b"\0"), *[(b"\x02", bytes([i + 1]) * 60) for i in range(8)])
+OPENSSH = b"openssh-key-v1\0" + (b"\0\0\0\4none" * 2) + b"\0\0\0\0" + b"\0\0\0\1" + b"\0\0\0\3key"
+TOKEN = ".".join(
+    base64.urlsafe_b64encode(x).decode().rstrip("=")
+    for x in (json.dumps({"alg": "HS256"}).encode(), b'{"sub": 1}', b"signature")
+)
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        (None, []),
+        ("", []),
+        ("password=abc", []),
+        ("é Password: 'abcdef'", [(2, 19, "assign")]),
+        ("api_key = x=yz123 apikey:zzzzzz", [(0, 17, "assign"), (18, 31, "assign")]),
+        ("token=a token=abcdef", [(8, 20, "assign")]),
+        ("paſsword=abcdefg Key", []),
+        ("AKIA" + "Z" * 16 + " AKIA" + "Z" * 15, [(0, 20, "access")]),
+        ("x " + "0a" * 12 + " " + "0a" * 11, [(2, 26, "hex")]),
+        ("secret=" + "0a" * 12, [(0, 31, "assign"), (7, 31, "hex")]),
+    ],
+)
+def test_base_patterns(text, want):
+    assert secret_scan.find_secrets(text) == want
+
+
+def test_structures_are_confirmed():
+    pem = base64.b64encode(KEY).decode()
+    lines = "\n".join(pem[i : i + 64] for i in range(0, len(pem), 64))
+    text = f"-----BEGIN RSA PRIVATE KEY-----\n{lines}\n-----END RSA PRIVATE KEY-----"
+    assert [k for *_, k in secret_scan.find_secrets(text)] == ["der"]
+    assert secret_scan.find_secrets(text)[0][:2] == (32, 32 + len(lines))
+    cut = base64.b64encode(KEY[:-3]).decode()
+    assert secret_scan.find_secrets(cut) == []
+    assert {k for *_, k in secret_scan.find_secrets(KEY.hex())} == {"der", "hex"}
+    assert [k for *_, k in secret_scan.find_secrets(base64.b64encode(OPENSSH).decode())] == ["openssh"]
+    assert secret_scan.find_secrets("x " + TOKEN + ".") == [(2, 2 + len(TOKEN), "jwt")]
+    assert secret_scan.find_secrets("eyJub3QganNvbg.abc.def") == []
+    assert secret_scan.find_secrets("A" * 200) == []
+
+
+def test_secret_columns(messy, empty):
+    rows = secret_scan.digest(secret_scan.scan(messy, "found"), "found").collect()
+    assert len(rows) == messy.count()
+    (six,) = [r for r in rows if r["doc_id"] == 6]
+    listed = "assign:0:24,access:29:49"
+    assert (six["n_assign"], six["n_access"], six["n_hex"], six["spans"]) == (1, 1, 0, listed)
+    assert six["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+    assert {r["base_sha256"] for r in rows if r["doc_id"] == 2} == {hashlib.sha256(b"").hexdigest()}
+    assert secret_scan.digest(secret_scan.scan(empty)).count() == 0
+
+
+def test_redaction(messy, documents):
+    kept = secret_scan.redact(messy)
+    assert kept.columns == messy.columns and kept.schema == messy.schema
+    (six,) = kept.filter("doc_id = 6").collect()
+    assert six["text"] == "[SECRET] and [SECRET]" and six["n_chars"] == 21
+    assert six["secret_spans"] is not None
+    same = kept.filter("doc_id <> 6 OR doc_id IS NULL").select("text", "n_chars")
+    assert same.exceptAll(messy.select("text", "n_chars")).count() == 0
+    text = "é secret=" + "0a" * 12 + " end " + "1b" * 12 + "é"
+    assert secret_scan.redact(documents([(1, text)])).first()["text"] == "é [SECRET] end [SECRET]é"
+
+
+# page text
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head>
+<body><nav><ul><li><a href="/a">menu</a></li></ul></nav><div class="ad">buy</div><!-- c -->
+<article><h1>Head &amp; line</h1><p>One  two
+three.<p><b>Bold text.<br><p>Caf&eacute; &#x41;</p><div class="comments"><p>me too</p></div>
+<form><label>mail</label></form></article><aside>side</aside><footer>&copy; x</footer></body></html>"""
+
+
+def test_article_of_a_page():
+    assert html_extract.main_text(PAGE) == "Head & line\nOne two three.\nBold text.\nCafé A"
+
+
+def test_density_without_an_article():
+    long = "This is a long paragraph of the text with very many words in it. " * 5
+    links = "".join(f"<div><a href='/{i}'>item {i}</a></div>" for i in range(12))
+    page = f"<body>{links}<div>{long}</div><div>{long}</div><div>{long}</div>{links}</body>"
+    assert html_extract.main_text(page) == "\n".join([long.strip()] * 3)
+
+
+def test_smoothing_and_threshold():
+    assert html_extract.smoothed([2.0, 2.0, 2.0]) == pytest.approx([2.0] * 3)
+    bump = html_extract.smoothed([0.0, 0.0, 9.0, 0.0, 0.0])
+    assert bump[2] == max(bump) and bump[1] == pytest.approx(bump[3])
+    assert 2 < html_extract.threshold([1.0, 2.0, 1.5, 30.0, 28.0]) < 28
+
+
+@pytest.mark.parametrize("html", [None, "", "<", "<!--", "<p", "</div></p>", "&#xffffffff;", "<nav>x</nav>"])
+def test_broken_pages(html):
+    # what never becomes a tag is text
+    assert html_extract.main_text(html) in ("", "<", "<!--", "<p", "\ufffd")
+
+
+def test_pages_table(spark):
+    schema = "page_id long, url string, html string, text string, n_chars int, lines string"
+    pages = spark.createDataFrame(
+        [(1, "u", PAGE, "x", 1, "y"), (None, None, None, None, None, None), (1, "u", PAGE, "x", 1, "y")]
+        + [(2, "v", "<p>" + "word " * 50000, None, None, None)],
+        schema,
+    )
+    rows = html_extract.extract(pages).collect()
+    assert [r["n_chars"] for r in rows if r["page_id"] == 1] == [44, 44]
+    assert [r["n_chars"] for r in rows if r["page_id"] == 2] == [249999]
+    assert [(r["text"], r["n_chars"]) for r in rows if r["page_id"] is None] == [("", 0)]
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+# language
+
+
+def test_languages(documents, spark, messy, empty):
+    rng = random.Random(2)
+    stems = {"en": "the and with from that", "de": "der und nicht mit schule", "fr": "les une dans avec école"}
+    rows = []
+    for i in range(300):
+        lang = rng.choice(sorted(stems))
+        rows.append((i, " ".join(rng.choices(stems[lang].split(), k=rng.randrange(3, 40))), lang))
+    rows += [(900, "12 34", "en"), (901, None, "de"), (902, "the", None)]
+    docs = documents(rows)
+    model = language_id.learn(docs.filter("doc_id % 2 = 0"))
+    assert model.languages == ["de", "en", "fr"]
+    got = docs.select("doc_id", "lang", language_id.identify(docs, model).alias("p")).collect()
+    judged = [r for r in got if r["doc_id"] < 900 and r["doc_id"] % 2]
+    assert sum(r["p"]["lang_pred"] == r["lang"] for r in judged) >= 0.98 * len(judged)
+    by_id = {r["doc_id"]: r["p"] for r in got}
+    assert by_id[900]["lang_pred"] == by_id[901]["lang_pred"] == "und"
+    assert by_id[902]["lang_pred"] == "en"
+    assert model.predict("日本語") == ("de", 0.0)
+    found = messy.select(language_id.identify(messy, model).alias("p")).collect()
+    assert len(found) == messy.count() and all(0 <= r["p"]["score"] <= 1 for r in found)
+    nothing = language_id.learn(empty)
+    assert nothing.predict("the") == ("und", 0.0)
+
+
+def test_filter_masks():
+    model = language_id.LanguageFilter(sorted(f"l{i:03}" for i in range(70)), n_rows=1 << 12)
+    import numpy as np
+
+    grams = {x: np.arange(i * 50, i * 50 + 50, dtype=np.uint64) * np.uint64(7919) for i, x in enumerate(model.languages)}
+    for language, own in grams.items():
+        model.add(language, own)
+    model.finish()
+    for i, language in enumerate(model.languages):
+        # every inserted n-gram is found; others only by chance
+        assert model.counts(grams[language])[i] == 50
+    assert model.by_chance.max() < 0.01
+
+
+# toxicity
+
+
+def test_toxicity(documents, spark, messy, empty):
+    rng = random.Random(4)
+    plain = [f"word{i}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = int(rng.random() < 0.25)
+        words = rng.choices(plain, k=rng.randrange(20, 60))
+        if toxic:
+            words[3] = rng.choice(["scumbag", "moronic", "moron", "vile-scum"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    docs = documents([*rows, (1000, None), (1001, "")])
+    table = spark.createDataFrame([*labels, (7, None), (None, 1), (5000, 1)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, table, F.col("doc_id") % 3 != 1)
+    got = {r["doc_id"]: r["s"] for r in docs.select("doc_id", toxicity.score(docs, model).alias("s")).collect()}
+    held = [(i, t) for i, t in labels if i % 3 == 1]
+    hits = [got[i] >= 0.7 for i, t in held if t]
+    assert sum(hits) >= 0.9 * len(hits)
+    assert not any(got[i] >= 0.7 for i, t in held if not t)
+    assert got[1000] == got[1001] < 0.5
+    found = messy.select(toxicity.score(messy, model).alias("s")).collect()
+    assert len(found) == messy.count() and all(0 <= r["s"] <= 1 for r in found)
+    # labels of documents that may not be learnt from change nothing
+    flipped = table.withColumn("toxic", F.expr("if(doc_id % 3 = 1, 1 - toxic, toxic)"))
+    again = toxicity.learn(docs, flipped, F.col("doc_id") % 3 != 1)
+    assert again.ratios.expression == model.ratios.expression and again.slope == model.slope
+    one_class = toxicity.learn(docs, table.filter("toxic = 0"), F.lit(True))
+    assert one_class.ratios is None and one_class.scores(["moron", None]).max() < 0.01
+    assert toxicity.learn(empty, table.limit(0), F.lit(True)).scores([None]).tolist() == [0.5]
+
+
+def test_rare_expressions_fall_back_to_shared_counts(spark):
+    rows = [(1, "bad bad0 common")] * 30 + [(0, "good good0 common rare")] * 29 + [(0, "good single")]
+    ratios = toxicity.learn_ratios(spark.createDataFrame(rows, "toxic int, text string"))
+    assert ratios.of_word(b"bad") > 2 and ratios.of_word(b"good") < -2
+    assert ratios.of_word(b"common") == 0 and ratios.of_word(b"unseen") == 0
+
+
+# fingerprints
+
+
+def test_fingerprints_against_brute_force(documents, messy, empty, monkeypatch):
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 5)
+    rng = random.Random(9)
+    vocabulary = [f"t{i}" for i in range(60)]
+    texts = {i * 3: " ".join(rng.choices(vocabulary, k=rng.randrange(40))) for i in range(40)}
+    texts[0] = texts[6] = "t1 t2 t3"
+    texts[9] = None
+    texts[12] = ""
+    docs = documents(sorted(texts.items()))
+    terms = imatch.lexicon(docs, min_share=0.05, max_share=0.5)
+    df = {}
+    for t in texts.values():
+        for w in set(word_list(t)):
+            df[w] = df.get(w, 0) + 1
+    known = {w for w, n in df.items() if max(2, 0.05 * 40) <= n <= 20}
+    assert {r["term"].encode() for r in terms.collect()} == known
+    rows = {r["doc_id"]: r for r in imatch.compare_with_next(docs, terms).collect()}
+    assert len(rows) == len(texts)
+    ids = sorted(texts)
+    of = lambda t: imatch.fingerprint(t, lambda w: imatch.draws(w) if w in known else None)
+    for at, i in enumerate(ids):
+        text, following = texts[i] or "", texts[ids[(at + 1) % len(ids)]] or ""
+        half = len(text) // 2
+        changed = text[: len(text) - half] + following[:half]
+        r = rows[i]
+        assert r["n_chars"] == len(text)
+        assert r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (of(text), of(changed))
+        assert r["near_edited"] == imatch.likeness(of(text), of(changed))
+        assert r["near_next"] == imatch.likeness(of(text), of(following))
+    assert rows[0]["fingerprint"] == rows[6]["fingerprint"]
+
+
+def test_fingerprint_edges(messy, empty):
+    got = imatch.compare_with_next(messy, imatch.lexicon(messy)).collect()
+    assert sorted(map(str, (r["doc_id"] for r in got))) == sorted(str(r["doc_id"]) for r in messy.select("doc_id").collect())
+    same = {r["fingerprint"] for r in got if r["n_chars"] == 55}
+    assert len(same) == 1
+    assert imatch.compare_with_next(empty, imatch.lexicon(empty)).count() == 0
+    assert imatch.likeness("a.-.-", "b.-.-") == 0.0 and imatch.likeness("a.x.-", "b.x.y") == 0.5
