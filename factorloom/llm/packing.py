@@ -19,7 +19,7 @@ long document is cut over many windows.  Other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,8 +34,10 @@ SHARD_DOCS = 2000
 QUERY_TERMS = 12
 #: Parameters of BM25.
 K1, B = 1.2, 0.75
-#: Text pieces whose ids a task keeps; the least recent go first.
-CACHE_ENTRIES = 400_000
+#: Runs, and parts of runs, whose ids a task remembers; beyond, it forgets all.
+CACHE_ENTRIES = 200_000
+#: Characters that are cut into runs at a time.
+CHUNK_CHARS = 1 << 20
 
 _TAIL = ".,;:!?*#$%&|"
 
@@ -72,8 +74,8 @@ class PieceTokenizer:
         for run, parts in split.items():
             self.runs[run] = b"".join(self.parts[p] for p in parts if p)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > CACHE_ENTRIES:
+    def _encode_chunk(self, texts: list[str]) -> list[bytes]:
+        if max(len(self.runs), len(self.parts)) > CACHE_ENTRIES:
             self.runs.clear()
             self.parts.clear()
         cut = [t.encode("utf-8", "surrogatepass").split() for t in texts]
@@ -83,6 +85,19 @@ class PieceTokenizer:
         ids = self.runs.__getitem__
         return [b"".join(map(ids, runs)) for runs in cut]
 
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
+        """Packed ids of each text; few texts are cut at a time."""
+        out: list[bytes] = []
+        chunk: list[str] = []
+        size = 0
+        for text in texts:
+            chunk.append(text)
+            size += len(text)
+            if size >= CHUNK_CHARS:
+                out += self._encode_chunk(chunk)
+                chunk, size = [], 0
+        return out + self._encode_chunk(chunk)
+
 
 def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Written table of row (a number), doc_id, ids (packed, with the end token), n_tokens, width
@@ -92,7 +107,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         pieces = PieceTokenizer(tokenizer_path)
         end = np.asarray([END], pieces.dtype).tobytes()
         for batch in batches:
-            ids = [x + end for x in pieces.encode(list(batch["text"]))]
+            ids = [x + end for x in pieces.encode(batch["text"])]
             yield pd.DataFrame(
                 {
                     "row": batch["row"],
