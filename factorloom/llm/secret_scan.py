@@ -142,34 +142,34 @@ def scan(docs: DataFrame, out: str = "spans") -> DataFrame:
     return docs.withColumn(out, _spans(F.col("text")))
 
 
+def masked(text: str | None, mask: str) -> str | None:
+    """The text with every secret replaced; overlapping spans give one mask."""
+    parts, upto = [], 0
+    for start, end, _ in find_secrets(text):
+        if start >= upto:
+            parts += [text[upto:start], mask]
+        upto = max(upto, end)
+    return "".join([*parts, text[upto:]]) if parts else text
+
+
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """The documents with every secret replaced by ``mask``; overlapping spans give one mask.
+    """The documents with every secret replaced by ``mask``.
 
     ``n_chars``, if there is one, is counted again where something was masked.
     """
-    name = free_name(docs, "secret_spans")
-    marked = docs.withColumn(name, _spans(F.col("text")))
-    text, last = F.col("text"), F.lit(2147483647)
-
-    def cut(at: Column, s: Column) -> Column:
-        between = F.substring(text, at["upto"] + 1, s["start"] - at["upto"])
-        fresh = F.concat(at["text"], between, F.lit(mask))
-        return F.struct(
-            F.when(s["start"] >= at["upto"], fresh).otherwise(at["text"]).alias("text"),
-            F.greatest(at["upto"], s["end"]).alias("upto"),
-        )
 
-    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("upto"))
-    masked = F.aggregate(
-        F.col(name), start, cut, lambda at: F.concat(at["text"], F.substring(text, at["upto"] + 1, last))
-    )
-    found = F.size(name) > 0
-    changed = {"text": F.when(found, masked).otherwise(text)}
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([masked(t, mask) for t in texts], index=texts.index, dtype=object)
+
+    name = free_name(docs, "masked_text")
+    both = docs.withColumn(name, F.pandas_udf(run, "string")(F.col("text")))
+    new = {"text": F.col(name)}
     if "n_chars" in docs.columns:
-        count = F.char_length(masked).cast(docs.schema["n_chars"].dataType)
-        changed["n_chars"] = F.when(found, count).otherwise(F.col("n_chars"))
-    listed = [changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns]
-    return marked.select(*listed)
+        count = F.char_length(name).cast(docs.schema["n_chars"].dataType)
+        same = F.col(name).eqNullSafe(F.col("text"))
+        new["n_chars"] = F.when(same, F.col("n_chars")).otherwise(count)
+    return both.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def _listed(spans: Column) -> Column:

@@ -84,6 +84,7 @@ def test_redaction(messy, documents):
     assert same.exceptAll(messy.select("text", "n_chars")).count() == 0
     text = "é secret=" + "0a" * 12 + " end " + "1b" * 12 + "é"
     assert secret_scan.redact(documents([(1, text)])).first()["text"] == "é [SECRET] end [SECRET]é"
+    assert secret_scan.masked("no secret", "x") == "no secret" and secret_scan.masked(None, "x") is None
 
 
 # page text
