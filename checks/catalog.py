@@ -13,7 +13,7 @@ from factorloom import operators as ops
 from factorloom import plans, sources
 from factorloom.functions import in_universe
 from factorloom.operators.portfolios import LISTED
-from factorloom.sources.order_tables import market_tables, source_signature
+from factorloom.sources.order_tables import FIRST_YEAR, LAST_YEAR, market_tables, source_signature
 from factorloom.workspace import scratch_path, stage
 
 AXES = plans.GridAxes(samples=plans.default_samples(dt.date(1999, 7, 1)))
@@ -32,10 +32,6 @@ class _Study(plans.Study):
             self._results = stage(self.grid(AXES), "grid-results")
         return self._results
 
-    @property
-    def premiums(self) -> DataFrame:
-        return plans.design_premiums(self.sorting_variables, self.returns)
-
 
 def _still_written(known: _Study) -> bool:
     folder = known.panel.inputFiles()[0].rsplit("/cal_month=", 1)[0]
@@ -89,6 +85,33 @@ def parquet_roundtrip(s: _Study) -> DataFrame:
     return _rounded(sources.load_stock_panel(spark, path), **PANEL_DIGITS)
 
 
+def fundamentals_roundtrip(s: _Study) -> DataFrame:
+    spark = s.panel.sparkSession
+    path = scratch_path(spark, "fundamentals")
+    sources.write_table(s.fundamentals, path)
+    return _rounded(sources.load_fundamentals(spark, path), be=2)
+
+
+def factors_csv_roundtrip(s: _Study) -> DataFrame:
+    spark = s.panel.sparkSession
+    path = scratch_path(spark, "factors")
+    sources.write_report(s.factors, path, ("date",))
+    loaded = sources.load_factors(spark, path, "csv", FIRST_YEAR, LAST_YEAR)
+    return _rounded(loaded, mkt_excess=10, hml=10)
+
+
+def grid_report_roundtrip(s: _Study) -> DataFrame:
+    """The written grid report with the position of each row in it."""
+    spark = s.panel.sparkSession
+    path = scratch_path(spark, "grid-report")
+    sources.write_report(s.results, path, ("spec_id", "_order"))
+    # one file read by one task: the rows are numbered as they stand in it
+    schema = s.results.drop("_order").schema
+    lines = spark.read.csv(path, schema=schema, header=True).coalesce(1)
+    numbered = lines.withColumn("position", F.monotonically_increasing_id())
+    return _rounded(numbered.select("position", "spec_id", "test", "estimate", "t_stat"), **TEST_DIGITS)
+
+
 def csv_report_roundtrip(s: _Study) -> DataFrame:
     spark = s.panel.sparkSession
     path = scratch_path(spark, "report")
@@ -162,7 +185,7 @@ def premium_comparison(s: _Study) -> DataFrame:
 # exchange breakpoints and grid sorts
 
 
-def _tenths(s: _Study, universes: dict[str, list[str]], method: str) -> DataFrame:
+def _tenths(s: _Study, universes: dict[str, list[str]]) -> DataFrame:
     populations = {u: in_universe(F.col("exchange"), e) for u, e in universes.items()}
     found = ops.quantiles(
         s.sorting_variables,
@@ -170,29 +193,28 @@ def _tenths(s: _Study, universes: dict[str, list[str]], method: str) -> DataFram
         [i / 10 for i in range(11)],
         ["sorting_date"],
         populations,
-        method,
     )
     listed = found.select("sorting_date", "population", F.posexplode("q").alias("position", "break"))
     return _rounded(listed, **{"break": 10})
 
 
 def exchange_breakpoints(s: _Study) -> DataFrame:
-    return _tenths(s, {"NYSE": ["NYSE"]}, "auto").drop("population")
+    return _tenths(s, {"NYSE": ["NYSE"]}).drop("population")
 
 
 def exchange_breakpoints_ranked(s: _Study) -> DataFrame:
-    return _tenths(s, {"NYSE": ["NYSE"], "ALL": LISTED}, "ranked")
+    return _tenths(s, {"NYSE": ["NYSE"], "ALL": LISTED})
 
 
 def sort_univariate(s: _Study) -> DataFrame:
     sorted_ = ops.univariate_sort(s.sorting_variables, 5, ["NYSE"])
-    return sorted_.select("permno", "sorting_date", "portfolio").filter("portfolio IS NOT NULL")
+    return sorted_.select("permno", "sorting_date", "portfolio")
 
 
 def sort_conditional(s: _Study) -> DataFrame:
     sorted_ = ops.conditional_sort(s.sorting_variables, 5, pool=False)
     kept = ["permno", "sorting_date", "portfolio_me", "portfolio"]
-    return sorted_.select(*kept).filter("portfolio IS NOT NULL")
+    return sorted_.select(*kept)
 
 
 def unassigned_counts(s: _Study) -> DataFrame:
@@ -200,15 +222,13 @@ def unassigned_counts(s: _Study) -> DataFrame:
 
 
 def returns_vw_ew(s: _Study) -> DataFrame:
-    sorted_ = ops.univariate_sort(s.sorting_variables, 5, ["NYSE"]).filter("portfolio IS NOT NULL")
+    sorted_ = ops.univariate_sort(s.sorting_variables, 5, ["NYSE"])
     return _rounded(ops.portfolio_returns(sorted_, s.returns, weight="both"), ret=10)
 
 
 def high_minus_low(s: _Study) -> DataFrame:
     sorted_ = ops.conditional_sort(s.sorting_variables, 5)
-    rets = ops.portfolio_returns(
-        sorted_.filter("portfolio IS NOT NULL"), s.returns, weight="both"
-    )
+    rets = ops.portfolio_returns(sorted_, s.returns, weight="both")
     return _rounded(ops.high_minus_low(rets, by=["weighting", "date"]), value_premium=10)
 
 
@@ -243,6 +263,17 @@ def grid_series(s: _Study) -> DataFrame:
     return _rounded(plans.grid_series(s.sorting_variables, s.returns, AXES), value_premium=10)
 
 
+def grid_custom_sample(s: _Study) -> DataFrame:
+    """A sample by a predicate of its own, with other options of the tests."""
+    axes = plans.GridAxes(
+        n_portfolios=(5,),
+        universes={"ALL": LISTED},
+        samples=(plans.Sample("no_amex", keep="exchange <> 'AMEX'"),),
+    )
+    rows = s.grid(axes, lag=0, small_sample="none").drop("_order")
+    return _rounded(rows, **TEST_DIGITS)
+
+
 def value_premium(s: _Study) -> DataFrame:
     rows = plans.value_premium(s.sorting_variables, s.returns, s.factors)
     return _rounded(rows.drop("_order"), **TEST_DIGITS)
@@ -279,6 +310,9 @@ QUERIES: list[Callable[[_Study], DataFrame]] = [
     fundamentals_annual,
     factors_tidy,
     parquet_roundtrip,
+    fundamentals_roundtrip,
+    factors_csv_roundtrip,
+    grid_report_roundtrip,
     csv_report_roundtrip,
     june_size,
     december_equity,
@@ -306,6 +340,7 @@ QUERIES: list[Callable[[_Study], DataFrame]] = [
     spec_coverage,
     grid_series,
     value_premium,
+    grid_custom_sample,
     grid_results,
     significance_flags,
     estimate_histogram,

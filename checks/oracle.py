@@ -180,33 +180,37 @@ months AS (
   WHERE value_premium IS NOT NULL)"""
 
 
-def nw(source: str, key: str, name: str) -> str:
-    """Mean test of column y per key, three lags."""
+def nw(source: str, key: str, name: str, lags: int = 3, correct: bool = True) -> str:
+    """Mean test of column y per key."""
+    lagged = "".join(f", lag(u, {i}) OVER w AS u{i}" for i in range(1, lags + 1))
+    cross = " + ".join(
+        f"{1 - i / (lags + 1)} * coalesce(sum(u * u{i}), 0)" for i in range(1, lags + 1)
+    )
+    factor = " * count(*) / nullif(count(*) - 1, 0)" if correct else ""
     return f"""
 {name}_u AS (
   SELECT {key}, date, y, y - avg(y) OVER (PARTITION BY {key}) AS u FROM {source}),
 {name}_l AS (
-  SELECT *, lag(u, 1) OVER w AS u1, lag(u, 2) OVER w AS u2, lag(u, 3) OVER w AS u3
-  FROM {name}_u WINDOW w AS (PARTITION BY {key} ORDER BY date)),
+  SELECT *{lagged} FROM {name}_u WINDOW w AS (PARTITION BY {key} ORDER BY date)),
 {name} AS (
   SELECT {key}, avg(y) AS estimate, count(*) AS n_obs,
-         avg(y) / nullif(sqrt(greatest(sum(u * u) + 2 * (0.75 * coalesce(sum(u * u1), 0)
-           + 0.5 * coalesce(sum(u * u2), 0) + 0.25 * coalesce(sum(u * u3), 0)), 0)
-           * count(*) / nullif(count(*) - 1, 0)) / count(*), 0) AS t_stat
+         avg(y) / nullif(sqrt(greatest(sum(u * u) + 2 * ({cross or 0}), 0){factor}) / count(*), 0)
+           AS t_stat
   FROM {name}_l GROUP BY {key})"""
 
 
-def capm(source: str, key: str, name: str) -> str:
-    """Intercept of y on x per key with the two-by-two sandwich matrix, three lags."""
-    cross = " + ".join(
-        f"{w} * coalesce(sum({{a}} * {{b}}{i} + {{b}} * {{a}}{i}), 0)"
-        for i, w in ((1, 0.75), (2, 0.5), (3, 0.25))
+def capm(source: str, key: str, name: str, lags: int = 3, correct: bool = True) -> str:
+    """Intercept of y on x per key with the two-by-two sandwich matrix."""
+    cross = "".join(
+        f" + {1 - i / (lags + 1)} * coalesce(sum({{a}} * {{b}}{i} + {{b}} * {{a}}{i}), 0)"
+        for i in range(1, lags + 1)
     )
     m00, m01, m11 = (
-        f"sum({a} * {b}) + " + cross.format(a=a, b=b)
+        f"sum({a} * {b})" + cross.format(a=a, b=b)
         for a, b in (("u", "u"), ("u", "v"), ("v", "v"))
     )
-    lags = ", ".join(f"lag({c}, {i}) OVER w AS {c}{i}" for c in "uv" for i in (1, 2, 3))
+    lagged = "".join(f", lag({c}, {i}) OVER w AS {c}{i}" for c in "uv" for i in range(1, lags + 1))
+    factor = " * n / nullif(n - 2, 0)" if correct else ""
     return f"""
 {name}_b AS (
   SELECT {key}, regr_intercept(y, x) AS alpha, regr_slope(y, x) AS beta, count(*) AS n,
@@ -216,13 +220,13 @@ def capm(source: str, key: str, name: str) -> str:
   SELECT {key}, date, y - alpha - beta * x AS u, (y - alpha - beta * x) * x AS v
   FROM {source} JOIN {name}_b USING ({key}) WHERE y IS NOT NULL AND x IS NOT NULL),
 {name}_l AS (
-  SELECT *, {lags} FROM {name}_u WINDOW w AS (PARTITION BY {key} ORDER BY date)),
+  SELECT *{lagged} FROM {name}_u WINDOW w AS (PARTITION BY {key} ORDER BY date)),
 {name}_m AS (
   SELECT {key}, {m00} AS m00, {m01} AS m01, {m11} AS m11 FROM {name}_l GROUP BY {key}),
 {name} AS (
   SELECT {key}, alpha AS estimate, n AS n_obs,
          alpha / nullif(sqrt(greatest(sxx * sxx * m00 - 2 * sxx * sx * m01 + sx * sx * m11, 0)
-           * n / nullif(n - 2, 0)) / abs(n * sxx - sx * sx), 0) AS t_stat
+           {factor}) / abs(n * sxx - sx * sx), 0) AS t_stat
   FROM {name}_b JOIN {name}_m USING ({key}))"""
 
 
@@ -241,6 +245,23 @@ grid_results AS (
   USING (spec_id, test))"""
 )
 
+# one sample by a predicate, five portfolios, all listed stocks, no lags and no correction
+CUSTOM = (
+    GRID.replace("FROM sv JOIN pops", "FROM (FROM sv WHERE exchange <> 'AMEX') sv JOIN pops")
+    + """,
+specs AS (
+  SELECT CAST(wi * 2 + di AS INT) AS spec_id, 5 AS n_portfolios, 'ALL' AS universe, *,
+         'no_amex' AS sample
+  FROM (VALUES (0, 'value'), (1, 'equal')) c(wi, weighting),
+       (VALUES (0, true), (1, false)) d(di, dependent)),
+months AS (
+  SELECT spec_id, date, value_premium AS y FROM specs JOIN series USING (weighting, dependent)
+  WHERE series.population = 'ALL' AND series.n_portfolios = 5 AND value_premium IS NOT NULL),"""
+    + nw("months", "spec_id", "nwt", 0, False)
+    + ",\nmonths_x AS (SELECT spec_id, date, y, mkt_excess AS x FROM months LEFT JOIN factors USING (date)),"
+    + capm("months_x", "spec_id", "capmt", 0, False)
+)
+
 FACTOR_CAPM = capm("(SELECT 1 AS one, date, hml AS y, mkt_excess AS x FROM factors)", "one", "hmlt")
 
 
@@ -261,6 +282,17 @@ def oracle_sql() -> dict[str, str]:
     return {
         # inputs
         "panel_monthly": _sql(base, panel),
+        "fundamentals_roundtrip": _sql(base, "SELECT gvkey, datadate, round(be, 2) + 0.0 AS be FROM fundamentals"),
+        "factors_csv_roundtrip": _sql(
+            base,
+            "SELECT date, round(mkt_excess, 10) + 0.0 AS mkt_excess, round(hml, 10) + 0.0 AS hml FROM factors",
+        ),
+        "grid_report_roundtrip": _sql(
+            results,
+            """SELECT row_number() OVER (ORDER BY spec_id, test DESC) - 1 AS position, spec_id, test,
+                      round(estimate, 10) + 0.0 AS estimate, round(t_stat, 8) + 0.0 AS t_stat
+               FROM grid_results""",
+        ),
         "fundamentals_annual": _sql(base, "SELECT gvkey, datadate, round(be, 2) + 0.0 AS be FROM fundamentals"),
         "factors_tidy": _sql(
             base,
@@ -328,14 +360,19 @@ def oracle_sql() -> dict[str, str]:
         ),
         "sort_univariate": _sql(
             grid,
-            """SELECT permno, sorting_date, portfolio FROM assigned
-               WHERE population = 'NYSE' AND NOT dependent AND n_portfolios = 5""",
+            """SELECT permno, sorting_date, portfolio
+               FROM sized LEFT JOIN (SELECT permno, sorting_date, population, portfolio FROM assigned
+                                     WHERE NOT dependent AND n_portfolios = 5)
+                 USING (permno, sorting_date, population)
+               WHERE population = 'NYSE'""",
         ),
         "sort_conditional": _sql(
             grid,
             """SELECT permno, sorting_date, CAST(size_id AS INT) AS portfolio_me, portfolio
-               FROM assigned
-               WHERE population = 'ALL' AND dependent AND n_portfolios = 5""",
+               FROM sized LEFT JOIN (SELECT permno, sorting_date, population, portfolio FROM assigned
+                                     WHERE dependent AND n_portfolios = 5)
+                 USING (permno, sorting_date, population)
+               WHERE population = 'ALL'""",
         ),
         "unassigned_counts": _sql(
             grid,
@@ -348,8 +385,16 @@ def oracle_sql() -> dict[str, str]:
         ),
         "returns_vw_ew": _sql(
             grid,
-            """SELECT date, portfolio, weighting, round(ret, 10) + 0.0 AS ret FROM grid_rets
-               WHERE population = 'NYSE' AND NOT dependent AND n_portfolios = 5""",
+            """SELECT date, portfolio, unnest(['value', 'equal']) AS weighting,
+                      round(unnest([vw, ew]), 10) + 0.0 AS ret
+               FROM (SELECT date, portfolio,
+                            coalesce(sum(ret_excess * mktcap_lag), 0) / nullif(sum(mktcap_lag), 0) AS vw,
+                            avg(ret_excess) AS ew
+                     FROM sized JOIN rets USING (permno, sorting_date)
+                       LEFT JOIN (SELECT permno, sorting_date, population, portfolio FROM assigned
+                                  WHERE NOT dependent AND n_portfolios = 5)
+                         USING (permno, sorting_date, population)
+                     WHERE population = 'NYSE' GROUP BY ALL)""",
         ),
         "high_minus_low": _sql(
             grid,
@@ -401,6 +446,15 @@ def oracle_sql() -> dict[str, str]:
                FROM grid_results WHERE universe = 'ALL' AND n_portfolios = 5 AND NOT dependent
                  AND weighting = 'value' AND sample = 'full'""",
         ),
+        "grid_custom_sample": _sql(
+            [BASE, CUSTOM],
+            """SELECT spec_id, n_portfolios, universe, weighting, dependent, sample, test,
+                      round(estimate, 10) + 0.0 AS estimate, round(t_stat, 8) + 0.0 AS t_stat, n_obs
+               FROM specs JOIN (SELECT 'Newey-West' AS test, spec_id, estimate, t_stat, n_obs FROM nwt
+                                UNION ALL
+                                SELECT 'CAPM-alpha', spec_id, estimate, t_stat, n_obs FROM capmt)
+                 USING (spec_id)""",
+        ),
         "grid_results": _sql(
             results,
             """SELECT spec_id, n_portfolios, universe, weighting, dependent, sample, test,

@@ -1,6 +1,6 @@
 """DataFrame-to-DataFrame operators."""
 
-from .cross_section import breakpoints, count_below, quantile_method, quantiles
+from .cross_section import breakpoints, count_below, join_on, quantiles, stacked
 from .inference import capm_alpha, gap_check, newey_west_mean
 from .portfolios import (
     assign_quantile,
@@ -35,17 +35,18 @@ __all__ = [
     "flag_significant",
     "gap_check",
     "high_minus_low",
+    "join_on",
     "june_size",
     "latest_fundamentals",
     "mean_premium",
     "newey_west_mean",
     "portfolio_returns",
-    "quantile_method",
     "quantiles",
     "return_periods",
     "returns_from_sums",
     "size_neutral",
     "sorting_variables",
+    "stacked",
     "unassigned_counts",
     "univariate_sort",
 ]

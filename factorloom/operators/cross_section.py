@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,79 +12,21 @@ from pyspark.sql import functions as F
 from ..functions import in_universe, inner_breaks, interior_breaks
 from ..workspace import stage
 
-# rows of a whole table up to which its groups may be sorted in single tasks
-COLLECT_ROWS = 1_000_000
-# value ranges into which the ranked method splits each group
+# value ranges into which each group is split
 FENCES = 512
 
 
-def quantile_method(df: DataFrame, limit: int = COLLECT_ROWS) -> str:
-    """"collect" when ``df`` has at most ``limit`` rows in all groups together, else "ranked".
-
-    Runs a count, which for a written table reads file footers only.
-    """
-    return "collect" if df.count() <= limit else "ranked"
-
-
-def quantiles(
-    df: DataFrame,
-    value: str,
-    probs: Sequence[float],
-    by: Sequence[str],
-    populations: Mapping[str, Column] | None = None,
-    method: str = "auto",
-) -> DataFrame:
-    """Linearly interpolated quantiles: one row ``by..., population, q`` each.
-
-    ``populations`` names conditions; the quantiles of a population use the rows
-    that meet its condition, and all populations share the passes over ``df``.
-    ``q`` is null for a population without values in a group.  Null values are
-    ignored.
-
-    ``method="collect"`` sorts each group in one task, for tables of a checked
-    size.  ``method="ranked"`` finds the order statistics by distributed counting,
-    for any size.  "auto" counts the rows of ``df`` and picks one.  Both return
-    the same numbers.
-    """
-    populations = populations or {"all": F.lit(True)}
-    if method == "auto":
-        method = quantile_method(df)
-    if method == "collect":
-        return _collected_quantiles(df, value, probs, by, populations)
-    if method == "ranked":
-        return _ranked_quantiles(df, value, probs, by, populations)
-    raise ValueError(f"method must be 'auto', 'collect' or 'ranked', not {method!r}")
-
-
-def _collected_quantiles(df, value, probs, by, populations) -> DataFrame:
-    names = list(populations)
-    lists = df.groupBy(*by).agg(
-        *[
-            F.sort_array(F.collect_list(F.when(populations[name], F.col(value)))).alias(f"v{i}")
-            for i, name in enumerate(names)
-        ]
-    )
-    points = ", ".join(f"{float(p)!r}D" for p in probs)
-    rows = []
-    for i, name in enumerate(names):
-        rank = f"(size(v{i}) - 1) * p"
-        low, high = (f"get(v{i}, cast({cut}({rank}) AS int))" for cut in ("floor", "ceil"))
-        at_rank = f"p -> {low} + ({rank} - floor({rank})) * ({high} - {low})"
-        q = F.expr(f"if(size(v{i}) > 0, transform(array({points}), {at_rank}), NULL)")
-        rows.append(F.struct(F.lit(name).alias("population"), q.alias("q")))
-    return lists.select(*by, F.inline(F.array(*rows)))
-
-
 def count_below(
     df: DataFrame, breaks: str, value: str, out: str, capacity: int, inclusive: bool = False
 ) -> DataFrame:
     """Add ``out``: how many of the sorted ``breaks`` lie below ``value``.
 
     A binary search spelled out in ``log2(capacity)`` projections, which stay in
-    generated code; ``capacity`` bounds the length of ``breaks``.  With
-    ``inclusive`` a break equal to ``value`` counts too.
+    generated code; ``capacity`` bounds the length of ``breaks``, and longer ones
+    are an error.  With ``inclusive`` a break equal to ``value`` counts too.
     """
-    df = df.withColumn(out, F.lit(0))
+    too_long = F.raise_error(F.lit(f"{breaks} has more than {capacity} entries")).cast("int")
+    df = df.withColumn(out, F.when(F.size(breaks) > capacity, too_long).otherwise(0))
     compare = "<=" if inclusive else "<"
     step = 1 << max(capacity.bit_length() - 1, 0)
     while step:
@@ -108,7 +52,38 @@ def bin_number(
     return df.withColumn(out, F.when(known, F.col(out) + 1))
 
 
-def _ranked_quantiles(df, value, probs, by, populations) -> DataFrame:
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names, null keys included; the keys are kept once."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(other, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def stacked(df: DataFrame, values: Sequence[str], *keep: str) -> DataFrame:
+    """One row ``keep..., variable, value`` per row and column, for quantiles of several columns
+    from the same passes."""
+    pairs = [F.struct(F.lit(v).alias("variable"), F.col(v).alias("value")) for v in values]
+    return df.select(*keep, F.inline(F.array(*pairs)))
+
+
+def quantiles(
+    df: DataFrame,
+    value: str,
+    probs: Sequence[float],
+    by: Sequence[str],
+    populations: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Linearly interpolated quantiles: one row ``by..., population, q`` each.
+
+    ``populations`` names conditions; the quantiles of a population use the rows
+    that meet its condition, and all populations share the passes over ``df``.
+    ``q`` is null for a population without values in a group.  Null values are
+    ignored; rows whose ``by`` is null form groups like others.
+
+    The order statistics are found by distributed counting, so no task holds a
+    group, whatever its size.
+    """
+    populations = populations or {"all": F.lit(True)}
     by, names = list(by), list(populations)
     member = [f"_member{i}" for i in range(len(names))]
     rows = df.select(
@@ -132,7 +107,7 @@ def _ranked_quantiles(df, value, probs, by, populations) -> DataFrame:
         ),
         "fences",
     )
-    ranged = count_below(rows.join(fences, by), "_fences", "_x", "_range", FENCES - 1).drop(
+    ranged = count_below(join_on(rows, fences, by), "_fences", "_x", "_range", FENCES - 1).drop(
         "_fences"
     )
 
@@ -183,7 +158,7 @@ def _ranked_quantiles(df, value, probs, by, populations) -> DataFrame:
     #    map-side combine that absorbs ties; each is about 1/FENCES of a group.
     wanted = targets.select(*by, "_range").distinct()
     values = (
-        ranged.join(wanted, [*by, "_range"], "left_semi")
+        join_on(ranged, wanted, [*by, "_range"], "left_semi")
         .groupBy(*by, "_range", "_x")
         .agg(*[F.sum(m).alias(m) for m in member])
     )
@@ -198,14 +173,16 @@ def _ranked_quantiles(df, value, probs, by, populations) -> DataFrame:
         F.array(*[F.sum(m).over(upto) for m in member]).alias("_upto"),
     )
     upto_pop = F.get("_upto", F.col("_pop"))
-    found = counted.join(targets, [*by, "_range"]).filter(
+    found = join_on(counted, targets, [*by, "_range"]).filter(
         (F.col("_offset") < upto_pop)
         & (F.col("_offset") >= upto_pop - F.get("_here", F.col("_pop")))
     )
     low, high = F.min_by("_x", "_rank"), F.max_by("_x", "_rank")
     position = F.first("_position")
+    part = position - F.floor(position)
+    # at a rank itself the value stands alone: an infinite neighbour would make it NaN
     by_point = found.groupBy(*by, "_pop", "_k").agg(
-        (low + (position - F.floor(position)) * (high - low)).alias("_value")
+        F.when(part == 0, low).otherwise(low + part * (high - low)).alias("_value")
     )
     listed = by_point.groupBy(*by, "_pop").agg(
         F.array_sort(F.collect_list(F.struct("_k", "_value"))).alias("_points")
@@ -214,7 +191,7 @@ def _ranked_quantiles(df, value, probs, by, populations) -> DataFrame:
     frame = groups.distinct().select(
         *by, F.explode(F.array(*[F.lit(i) for i in range(len(names))])).alias("_pop")
     )
-    return frame.join(listed, [*by, "_pop"], "left").select(
+    return join_on(frame, listed, [*by, "_pop"], "left").select(
         *by,
         F.get(named, F.col("_pop")).alias("population"),
         F.col("_points._value").alias("q"),
@@ -228,7 +205,6 @@ def breakpoints(
     by: Sequence[str],
     universe: Sequence[str] | None = None,
     closed: str = "left",
-    method: str = "auto",
 ) -> DataFrame:
     """Breaks of ``n`` bins per group: ``by..., breaks``.
 
@@ -243,5 +219,5 @@ def breakpoints(
     if not probs:
         return df.select(*by).distinct().withColumn("breaks", F.array().cast("array<double>"))
     population = {"universe": in_universe(F.col("exchange"), universe)}
-    found = quantiles(df, value, probs, by, population, method)
+    found = quantiles(df, value, probs, by, population)
     return found.select(*by, shape(F.col("q")).alias("breaks"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import stage
-from .cross_section import bin_number, breakpoints, quantile_method
+from .cross_section import bin_number, breakpoints, join_on
 
 SORT_DATE = ("sorting_date",)
 
@@ -24,15 +24,14 @@ def assign_quantile(
     universe: Sequence[str] | None = None,
     closed: str = "right",
     out: str = "portfolio",
-    method: str = "auto",
 ) -> DataFrame:
     """Add the 1-based quantile bin of ``value`` within each group.
 
     The breaks are written first: the planner then knows their true size and
     sends them to every task only if they are small, and shuffles otherwise.
     """
-    breaks = stage(breakpoints(df, value, n, by, universe, closed, method), "breaks")
-    return bin_number(df.join(breaks, list(by), "left"), value, "breaks", out, n, closed).drop(
+    breaks = stage(breakpoints(df, value, n, by, universe, closed), "breaks")
+    return bin_number(join_on(df, breaks, by, "left"), value, "breaks", out, n, closed).drop(
         "breaks"
     )
 
@@ -42,27 +41,23 @@ def double_sort(
     n_size: int = 3,
     n_bm: int = 3,
     dependent: bool = False,
-    method: str = "auto",
 ) -> DataFrame:
     """Add ``portfolio_me`` and ``portfolio_bm``; all stocks set the breaks, bins (a, b].
 
     With ``dependent`` the book-to-market breaks are those of the size portfolio.
     """
-    if method == "auto":
-        method = quantile_method(sv)
-    sized = assign_quantile(sv, "me", n_size, out="portfolio_me", method=method)
+    sized = assign_quantile(sv, "me", n_size, out="portfolio_me")
     by = ["sorting_date", "portfolio_me"] if dependent else ["sorting_date"]
-    return assign_quantile(sized, "bm", n_bm, by, out="portfolio_bm", method=method)
+    return assign_quantile(sized, "bm", n_bm, by, out="portfolio_bm")
 
 
 def univariate_sort(
     sv: DataFrame,
     n: int = 5,
     universe: Sequence[str] | None = LISTED,
-    method: str = "auto",
 ) -> DataFrame:
     """Add ``portfolio`` by book-to-market; the universe sets the breaks, bins [a, b)."""
-    return assign_quantile(sv, "bm", n, universe=universe, closed="left", method=method)
+    return assign_quantile(sv, "bm", n, universe=universe, closed="left")
 
 
 def conditional_sort(
@@ -71,20 +66,17 @@ def conditional_sort(
     universe: Sequence[str] | None = LISTED,
     n_size: int = 3,
     pool: bool = True,
-    method: str = "auto",
 ) -> DataFrame:
     """Sort on size, then on book-to-market within size; bins [a, b).
 
     With ``pool`` the size portfolio is dropped, so that equal book-to-market
     portfolios of all sizes form one.
     """
-    if method == "auto":
-        method = quantile_method(sv)
     sized = assign_quantile(
-        sv, "me", n_size, universe=universe, closed="left", out="portfolio_me", method=method
+        sv, "me", n_size, universe=universe, closed="left", out="portfolio_me"
     )
     by = ["sorting_date", "portfolio_me"]
-    both = assign_quantile(sized, "bm", n, by, universe=universe, closed="left", method=method)
+    both = assign_quantile(sized, "bm", n, by, universe=universe, closed="left")
     return both.drop("portfolio_me") if pool else both
 
 

@@ -1,6 +1,6 @@
 """Whole analyses composed from the operators."""
 
-from .comparison import design_premiums, premium_comparison
+from .comparison import compare_designs, design_premiums, premium_comparison
 from .grid import (
     GridAxes,
     Sample,
@@ -19,6 +19,7 @@ __all__ = [
     "Sample",
     "Study",
     "default_samples",
+    "compare_designs",
     "design_premiums",
     "estimate_histogram",
     "grid_series",

@@ -5,33 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.cross_section import bin_number, breakpoints, quantile_method
+from ..functions import inner_breaks
+from ..operators.cross_section import bin_number, join_on, quantiles, stacked
 from ..operators.portfolios import SORT_DATE, assign_quantile
 from ..operators.premium import high_minus_low, mean_premium, size_neutral
 from ..operators.returns import cell_sums, returns_from_sums
 from ..workspace import stage
 
 
-def design_premiums(sv: DataFrame, returns: DataFrame, method: str = "auto") -> DataFrame:
+def design_premiums(sv: DataFrame, returns: DataFrame) -> DataFrame:
     """Monthly value premium of the independent and the dependent 3x3 sort.
 
     Both designs share the size portfolios and differ in book-to-market, so each
     stock gets all three numbers, the returns are joined once, and the designs
     are told apart only on the sums per date and cell (at most 27 a month).
     """
-    if method == "auto":
-        method = quantile_method(sv)
-    me, bm = (
-        breakpoints(sv, value, 3, SORT_DATE, closed="right", method=method).withColumnRenamed(
-            "breaks", f"{value}_breaks"
-        )
-        for value in ("me", "bm")
+    both = stacked(sv, ["me", "bm"], "sorting_date")
+    found = quantiles(both, "value", [1 / 3, 2 / 3], ["sorting_date", "variable"])
+
+    def of(variable: str):
+        return F.max(F.when(F.col("variable") == variable, inner_breaks(F.col("q"))))
+
+    breaks = found.groupBy("sorting_date").agg(
+        of("me").alias("me_breaks"), of("bm").alias("bm_breaks")
     )
-    ids = sv.join(stage(me.join(bm, "sorting_date"), "breaks"), "sorting_date")
+    ids = join_on(sv, stage(breaks, "breaks"), SORT_DATE)
     ids = bin_number(ids, "me", "me_breaks", "portfolio_me", 3, "right")
     ids = bin_number(ids, "bm", "bm_breaks", "bm_independent", 3, "right")
     ids = assign_quantile(
-        ids, "bm", 3, ["sorting_date", "portfolio_me"], out="bm_dependent", method=method
+        ids, "bm", 3, ["sorting_date", "portfolio_me"], out="bm_dependent"
     )
     cells = cell_sums(ids, returns, ["portfolio_me", "bm_independent", "bm_dependent"])
     designs = [
@@ -44,15 +46,18 @@ def design_premiums(sv: DataFrame, returns: DataFrame, method: str = "auto") ->
     return high_minus_low(averaged, "portfolio_bm", by=["design", "date"])
 
 
-def premium_comparison(
-    sv: DataFrame, returns: DataFrame, factors: DataFrame, method: str = "auto"
-) -> DataFrame:
+def compare_designs(premiums: DataFrame, factors: DataFrame) -> DataFrame:
     """Three rows ``design, value_premium``; ``_order`` is the order of the report."""
-    premiums = mean_premium(design_premiums(sv, returns, method), by=["design"])
+    means = mean_premium(premiums, by=["design"])
     published = factors.agg(F.avg("hml").alias("value_premium")).select(
         F.lit("Published HML").alias("design"), "value_premium"
     )
     order = (
         F.when(F.col("design") == "Independent", 1).when(F.col("design") == "Dependent", 2)
     ).otherwise(3)
-    return premiums.unionByName(published).withColumn("_order", order)
+    return means.unionByName(published).withColumn("_order", order)
+
+
+def premium_comparison(sv: DataFrame, returns: DataFrame, factors: DataFrame) -> DataFrame:
+    """The comparison from sorting variables and returns."""
+    return compare_designs(design_premiums(sv, returns), factors)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean_double, in_universe, interior_breaks
-from ..operators.cross_section import bin_number, count_below, quantile_method, quantiles
+from ..operators.cross_section import bin_number, count_below, join_on, quantiles, stacked
 from ..operators.inference import capm_alpha, newey_west_mean
 from ..operators.portfolios import LISTED, SORT_DATE
 from ..operators.premium import high_minus_low
@@ -37,12 +37,29 @@ TESTS = ("Newey-West", "CAPM-alpha")
 
 @dataclass(frozen=True)
 class Sample:
-    """Stocks outside one industry, sorted from ``start`` to before ``end``."""
+    """Stocks outside one industry, sorted from ``start`` to before ``end``.
+
+    ``keep`` is any further condition on the columns of the sorting variables, in SQL.
+    """
 
     name: str
     exclude_industry: str | None = None
     start: dt.date | None = None
     end: dt.date | None = None
+    keep: str | None = None
+
+    @property
+    def exclusion(self) -> tuple[str | None, str | None] | None:
+        """What leaves stocks out; None if nothing does."""
+        return (self.exclude_industry, self.keep) if self.exclude_industry or self.keep else None
+
+
+Exclusion = tuple[str | None, str | None] | None
+
+
+def _suffix(exclusion: Exclusion) -> str:
+    industry, keep = exclusion or (None, None)
+    return (f" without {industry}" if industry else "") + (f" where {keep}" if keep else "")
 
 
 def default_samples(split: dt.date) -> tuple[Sample, ...]:
@@ -67,16 +84,16 @@ class GridAxes:
     samples: Sequence[Sample] = default_samples(dt.date(1990, 7, 1))
 
     @property
-    def exclusions(self) -> list[str | None]:
-        return list(dict.fromkeys(s.exclude_industry for s in self.samples))
+    def exclusions(self) -> list[Exclusion]:
+        return list(dict.fromkeys(s.exclusion for s in self.samples))
 
     @property
-    def populations(self) -> list[tuple[str, str | None]]:
-        """Pairs of universe and excluded industry, which set the breaks."""
+    def populations(self) -> list[tuple[str, Exclusion]]:
+        """Pairs of universe and what is left out, which set the breaks."""
         return [(u, e) for u in self.universes for e in self.exclusions]
 
-    def population_name(self, universe: str, exclusion: str | None) -> str:
-        return universe if exclusion is None else f"{universe} without {exclusion}"
+    def population_name(self, universe: str, exclusion: Exclusion) -> str:
+        return universe + _suffix(exclusion)
 
 
 def spec_grid(spark: SparkSession, axes: GridAxes) -> DataFrame:
@@ -89,7 +106,7 @@ def spec_grid(spark: SparkSession, axes: GridAxes) -> DataFrame:
         "_sample": [
             F.struct(
                 F.lit(s.name).alias("sample"),
-                F.lit(s.exclude_industry).cast("string").alias("exclude_industry"),
+                F.lit(_suffix(s.exclusion)).alias("_suffix"),
                 F.lit(s.start).cast("date").alias("sample_start"),
                 F.lit(s.end).cast("date").alias("sample_end"),
             )
@@ -106,16 +123,13 @@ def spec_grid(spark: SparkSession, axes: GridAxes) -> DataFrame:
         F.col("id").cast("int").alias("spec_id"), *columns
     )
     grid = grid.select("*", "_sample.*").drop("_sample")
-    name = F.when(F.col("exclude_industry").isNull(), F.col("universe")).otherwise(
-        F.concat("universe", F.lit(" without "), "exclude_industry")
-    )
-    return grid.withColumn("population", name).drop("exclude_industry")
+    return grid.withColumn("population", F.concat("universe", "_suffix")).drop("_suffix")
 
 
-def _kept(exclusion: str | None) -> Column:
-    if exclusion is None:
-        return F.lit(True)
-    return F.coalesce(F.col("industry") != exclusion, F.lit(False))
+def _kept(exclusion: Exclusion) -> Column:
+    industry, keep = exclusion or (None, None)
+    outside = F.col("industry") != industry if industry else F.lit(True)
+    return F.coalesce(outside & (F.expr(keep) if keep else F.lit(True)), F.lit(False))
 
 
 def _members(axes: GridAxes) -> dict[str, Column]:
@@ -147,24 +161,37 @@ def _breaks_by_n(quantile_rows: DataFrame, axes: GridAxes, probs: list[Fraction]
     return quantile_rows.select(*keys, F.inline(F.array(*rows)))
 
 
-def _breaks(sv: DataFrame, axes: GridAxes, method: str) -> tuple[DataFrame, DataFrame]:
+def _breaks(sv: DataFrame, axes: GridAxes) -> tuple[DataFrame, DataFrame]:
     """Size breaks per population, and book-to-market breaks per assignment.
 
-    ``portfolio_me`` is 0 for the sorts that ignore size.
+    ``portfolio_me`` is 0 for the sorts that ignore size.  Size and book-to-market share the passes
+    over the whole cross-sections.
     """
     members = _members(axes)
-    probs = sorted({Fraction(i, n) for n in axes.n_portfolios for i in range(n + 1)})
+    probs = sorted({Fraction(i, n) for n in (*axes.n_portfolios, N_SIZE) for i in range(n + 1)})
     points = [p.numerator / p.denominator for p in probs]
-    size_points = [i / N_SIZE for i in range(N_SIZE + 1)]
+    flags = {name: f"_member{i}" for i, name in enumerate(members)}
+    marked = sv.withColumns({flags[name]: member for name, member in members.items()})
+    both = stacked(marked, ["me", "bm"], "sorting_date", *flags.values())
+    found = stage(
+        quantiles(
+            both, "value", points, ["sorting_date", "variable"], {n: F.col(f) for n, f in flags.items()}
+        ),
+        "quantiles",
+    )
 
-    size = quantiles(sv, "me", size_points, SORT_DATE, members, method)
+    size_picks = F.array(*[F.get("q", F.lit(probs.index(Fraction(i, N_SIZE)))) for i in range(N_SIZE + 1)])
     size = stage(
-        size.select("sorting_date", "population", interior_breaks(F.col("q")).alias("me_breaks")),
+        found.filter("variable = 'me'").select(
+            "sorting_date",
+            "population",
+            interior_breaks(F.when(F.col("q").isNotNull(), size_picks)).alias("me_breaks"),
+        ),
         "size-breaks",
     )
     parts = []
     if False in axes.dependent:
-        whole = quantiles(sv, "bm", points, SORT_DATE, members, method)
+        whole = found.filter("variable = 'bm'").drop("variable")
         parts.append(whole.withColumn("portfolio_me", F.lit(0)))
     if True in axes.dependent:
         # one copy of a stock per population it belongs to, on the annual rows only
@@ -175,7 +202,7 @@ def _breaks(sv: DataFrame, axes: GridAxes, method: str) -> tuple[DataFrame, Data
             "sorting_date", F.col("population").alias("_population"), "portfolio_me", "bm"
         )
         by = ["sorting_date", "_population", "portfolio_me"]
-        within = quantiles(sized, "bm", points, by, method=method).drop("population")
+        within = quantiles(sized, "bm", points, by).drop("population")
         parts.append(within.withColumnRenamed("_population", "population"))
     bm = reduce(DataFrame.unionByName, parts)
     return size, stage(_breaks_by_n(bm, axes, probs), "bm-breaks")
@@ -240,25 +267,21 @@ def _portfolios_of_cells(
 ASSIGNMENT = ["population", "n_portfolios", "dependent"]
 
 
-def grid_series(
-    sv: DataFrame, returns: DataFrame, axes: GridAxes, method: str = "auto"
-) -> DataFrame:
+def grid_series(sv: DataFrame, returns: DataFrame, axes: GridAxes) -> DataFrame:
     """Monthly value premium of every assignment and weighting over all dates.
 
     ``sv`` should be a written table: the breaks and the cells read it again.
     """
     sv = sv.withColumns({"me": clean_double(F.col("me")), "bm": clean_double(F.col("bm"))})
-    if method == "auto":
-        method = quantile_method(sv)
-    size, bm = _breaks(sv, axes, method)
+    size, bm = _breaks(sv, axes)
     stocks, cell = _with_cells(sv, size, bm, axes)
-    # all stocks of a cell share every portfolio, so any one of them stands for it
-    any_stock = [F.min("me").alias("me"), F.min("bm").alias("bm")]
-    cells = cell_sums(stocks, returns, cell, any_stock)
+    # all stocks of a cell share every portfolio, so any one of them stands for it, and the
+    # assignments are evaluated once for all months of the cell
+    whole = stocks.groupBy(*cell).agg(F.min("me").alias("me"), F.min("bm").alias("bm"))
+    assigned = _portfolios_of_cells(whole, size, bm, axes).select(*cell, *ASSIGNMENT, "portfolio")
+    sums = cell_sums(stocks, returns, cell)
     rets = returns_from_sums(
-        _portfolios_of_cells(cells, size, bm, axes).select(
-            *ASSIGNMENT, "sorting_date", "date", "portfolio", *SUMS
-        ),
+        join_on(sums, assigned, cell).select(*ASSIGNMENT, "sorting_date", "date", "portfolio", *SUMS),
         [*ASSIGNMENT, "sorting_date", "date", "portfolio"],
     )
     keys = [*ASSIGNMENT, "weighting", "sorting_date", "date"]
@@ -312,7 +335,6 @@ def run_grid(
     axes: GridAxes | None = None,
     lag: int = 3,
     small_sample: str = "n/(n-k)",
-    method: str = "auto",
 ) -> DataFrame:
     """Two rows per specification: the mean test and the CAPM alpha.
 
@@ -323,7 +345,7 @@ def run_grid(
     axes = axes or GridAxes()
     specs = spec_grid(sv.sparkSession, axes)
     # two tests read the series; it has one row per assignment, weighting and month
-    series = stage(grid_series(sv, returns, axes, method), "grid-series")
+    series = stage(grid_series(sv, returns, axes), "grid-series")
     months = spec_series(specs, series)
     options = {"by": ["spec_id"], "lag": lag, "small_sample": small_sample}
     mean_test = newey_west_mean(months, **options).withColumn("test", F.lit(TESTS[0]))
@@ -348,7 +370,8 @@ def value_premium(
     exchanges: Sequence[str] = LISTED,
     value_weighted: bool = True,
     dependent_sort: bool = False,
-    method: str = "auto",
+    lag: int = 3,
+    small_sample: str = "n/(n-k)",
 ) -> DataFrame:
     """Both tests of one specification: two rows ``test, estimate, t_stat``."""
     axes = GridAxes(
@@ -358,5 +381,5 @@ def value_premium(
         dependent=(dependent_sort,),
         samples=(Sample("full"),),
     )
-    rows = run_grid(sv, returns, factors, axes, method=method)
+    rows = run_grid(sv, returns, factors, axes, lag=lag, small_sample=small_sample)
     return rows.select("test", "estimate", "t_stat", "_order")

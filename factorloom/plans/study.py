@@ -15,6 +15,7 @@ from ..operators.timing import (
     sorting_variables,
 )
 from ..sources import (
+    by_calendar_month,
     load_factors,
     load_fundamentals,
     load_stock_panel,
@@ -24,7 +25,7 @@ from ..sources import (
     write_table,
 )
 from ..workspace import stage
-from .comparison import premium_comparison
+from .comparison import compare_designs, design_premiums
 from .grid import GridAxes, run_grid
 from .report import estimate_histogram, grid_summary, reference_lines
 
@@ -53,8 +54,13 @@ class Study:
     def returns(self) -> DataFrame:
         return return_periods(self.panel)
 
+    @cached_property
+    def premiums(self) -> DataFrame:
+        """Monthly premiums of both 3x3 designs, written once for all tests on them."""
+        return stage(design_premiums(self.sorting_variables, self.returns), "premiums")
+
     def comparison(self) -> DataFrame:
-        return premium_comparison(self.sorting_variables, self.returns, self.factors)
+        return compare_designs(self.premiums, self.factors)
 
     def grid(self, axes: GridAxes | None = None, **options) -> DataFrame:
         return run_grid(self.sorting_variables, self.returns, self.factors, axes, **options)
@@ -75,8 +81,9 @@ def run_study(
     clean = f"{out_dir}/clean/factors_monthly"
     raw = read_factors(spark, factors_path, factors_format)
     write_table(tidy_factors(raw, first_year, last_year), clean)
+    # one read of the given panel; snapshots and returns then read only their months and columns
     study = Study(
-        load_stock_panel(spark, panel_path),
+        by_calendar_month(load_stock_panel(spark, panel_path)),
         load_fundamentals(spark, fundamentals_path),
         load_factors(spark, clean, first_year=first_year, last_year=last_year),
     )

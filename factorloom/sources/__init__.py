@@ -5,6 +5,7 @@ from .tables import (
     FACTORS,
     FUNDAMENTALS,
     STOCK_PANEL,
+    by_calendar_month,
     conform,
     load_factors,
     load_fundamentals,
@@ -20,6 +21,7 @@ __all__ = [
     "FUNDAMENTALS",
     "STOCK_PANEL",
     "MarketTables",
+    "by_calendar_month",
     "conform",
     "load_factors",
     "load_fundamentals",

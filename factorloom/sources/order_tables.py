@@ -120,7 +120,8 @@ def _factors(wide: DataFrame) -> DataFrame:
 
 def market_tables(spark: SparkSession, sf_dir: str) -> MarketTables:
     """The three input tables, over one written copy of the supplier months."""
-    wide = stage(wide_panel(spark, sf_dir), "panel", partition_by=("cal_month",))
+    months = wide_panel(spark, sf_dir).hint("rebalance", "cal_month")
+    wide = stage(months, "panel", partition_by=("cal_month",))
     return MarketTables(_panel(wide), _fundamentals(wide), _factors(wide))
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clean_double, month_start
+from ..workspace import stage
+
+REPORT_ROWS = 100_000
 
 STOCK_PANEL = T.StructType(
     [
@@ -38,8 +41,11 @@ FACTORS = T.StructType(
 )
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Check that the columns of ``schema`` are there, then select and cast them."""
+def conform(df: DataFrame, schema: T.StructType, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Check that the columns of ``schema`` are there, then select and cast them.
+
+    Columns named by ``keep`` stay as they are if ``df`` has them.
+    """
     missing = [f.name for f in schema if f.name not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; found {df.columns}")
@@ -51,13 +57,17 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
                 else F.col(f.name).cast(f.dataType)
             ).alias(f.name)
             for f in schema
-        ]
+        ],
+        *[c for c in keep if c in df.columns],
     )
 
 
 def load_stock_panel(spark: SparkSession, path: str) -> DataFrame:
-    """Monthly stock panel, one row per stock and month, dated on month starts."""
-    panel = conform(spark.read.parquet(path), STOCK_PANEL)
+    """Monthly stock panel, one row per stock and month, dated on month starts.
+
+    A panel written by calendar month keeps the partition column, on which snapshots are pruned.
+    """
+    panel = conform(spark.read.parquet(path), STOCK_PANEL, keep=("cal_month",))
     return panel.withColumn("date", month_start(F.col("date")))
 
 
@@ -101,12 +111,26 @@ def load_factors(
     return conform(tidy_factors(raw, first_year, last_year), FACTORS)
 
 
+def by_calendar_month(panel: DataFrame) -> DataFrame:
+    """The panel written once by calendar month, unless it is kept so already."""
+    if "cal_month" in panel.columns:
+        return panel
+    monthly = panel.withColumn("cal_month", F.month("date")).hint("rebalance", "cal_month")
+    return stage(monthly, "panel-by-month", partition_by=("cal_month",))
+
+
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    if partition_by:  # few files in each folder, large ones split
+        df = df.hint("rebalance", *partition_by)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def write_report(df: DataFrame, path: str, order_by: tuple[str, ...]) -> None:
-    """One CSV file with a header, in order.  For result tables of a few hundred rows."""
+    """One CSV file with a header, in order.  For result tables of at most ``REPORT_ROWS`` rows;
+    more are an error."""
+    df = stage(df, "report")
+    if (n := df.count()) > REPORT_ROWS:
+        raise ValueError(f"a report holds at most {REPORT_ROWS} rows, not {n}; use write_table")
     columns = [c for c in df.columns if not c.startswith("_")]
     (
         df.repartition(1)

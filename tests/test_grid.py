@@ -39,10 +39,10 @@ def samples(sv):
     ]
 
 
-@pytest.mark.parametrize("ties,method", [(False, "collect"), (True, "collect"), (True, "ranked")])
-def test_grid_equals_one_specification_at_a_time(spark, ties, method):
+@pytest.mark.parametrize("ties", [False, True])
+def test_grid_equals_one_specification_at_a_time(spark, ties):
     sv, rets, mkt, frames = market(spark, seed=11, ties=ties)
-    rows = plans.run_grid(*frames, method=method).collect()
+    rows = plans.run_grid(*frames).collect()
     assert len(rows) == 192
     got = {(r.spec_id, r.test): r for r in rows}
     options = itertools.product(
@@ -227,13 +227,12 @@ def test_one_specification_equals_its_row_of_the_grid(spark):
             assert math.isclose(r.t_stat, whole[spec_id, r.test].t_stat, rel_tol=1e-8)
 
 
-@pytest.mark.parametrize("method", ["collect", "ranked"])
-def test_shuffled_joins_give_the_same_grid(spark, method):
+def test_shuffled_joins_give_the_same_grid(spark):
     _, _, _, (sv, rets, factors) = market(spark, seed=22, n_stocks=30, years=(1989, 1990))
     axes = plans.GridAxes(n_portfolios=(3,), weightings=("value",), samples=(plans.Sample("full"),))
 
     def run():
-        rows = plans.run_grid(sv, rets, factors, axes, method=method).collect()
+        rows = plans.run_grid(sv, rets, factors, axes).collect()
         return {(r.spec_id, r.test): r for r in rows}
 
     usual = run()

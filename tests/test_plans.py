@@ -13,10 +13,11 @@ import __spark_entry__ as entry_points
 from checks import catalog
 from checks.catalog import study
 from factorloom import operators as ops
+from factorloom.sources import by_calendar_month, load_stock_panel, write_table
 from factorloom.sources.order_tables import supplier_months
 from factorloom.workspace import scratch_path, stage, workspace_dir
 
-from .helpers import RETURN_SCHEMA, SV_SCHEMA, random_market
+from .helpers import RETURN_SCHEMA, STOCK_SCHEMA, SV_SCHEMA, random_market
 
 SF_DIR = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -30,7 +31,7 @@ def plan_of(df) -> str:
 
 
 @needs_tables
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_no_python_and_no_cross_join(spark, name):
     plan = plan_of(entry_points.queries()[name](spark, SF_DIR))
     for operator in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
@@ -56,6 +57,21 @@ def test_snapshots_read_one_month_of_the_panel(spark):
     assert "ret_excess" not in re.search(r"ReadSchema: [^\n]*", plan).group()
 
 
+def test_a_loaded_panel_is_read_once(spark, tmp_path):
+    sv, rets = random_market(n_stocks=5)
+    rows = [(p, f"G{p}", d, "NYSE", "Other", 1.0, w, r) for p, _, d, r, w in rets]
+    path = str(tmp_path / "panel.parquet")
+    spark.createDataFrame(rows, STOCK_SCHEMA).write.parquet(path)
+    panel = by_calendar_month(load_stock_panel(spark, path))
+    assert path not in "".join(panel.inputFiles())
+    again = str(tmp_path / "by-month.parquet")
+    write_table(panel, again, ("cal_month",))
+    loaded = by_calendar_month(load_stock_panel(spark, again))
+    assert all(again in f for f in loaded.inputFiles())
+    for frame in (panel, loaded):
+        assert re.search(r"PartitionFilters: \[[^\]]*cal_month#\d+ = 12", plan_of(ops.december_equity(frame)))
+
+
 @needs_tables
 def test_a_folder_is_derived_once(spark):
     assert study(spark, SF_DIR) is study(spark, SF_DIR)

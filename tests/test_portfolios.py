@@ -13,7 +13,6 @@ from factorloom.operators import cross_section as bp
 from .helpers import RETURN_SCHEMA, SV_SCHEMA, exchange_bins, linear_quantile, random_market
 
 DATE = dt.date(2000, 7, 1)
-METHODS = ["collect", "ranked"]
 
 
 def cross_section(spark, values, exchanges=None, date=DATE):
@@ -28,12 +27,11 @@ def bins(df, out="portfolio"):
     return [r[out] for r in df.orderBy("permno").collect()]
 
 
-@pytest.mark.parametrize("method", METHODS)
-def test_a_value_on_a_break(spark, method):
+def test_a_value_on_a_break(spark):
     # medians of 1..3 put the break on 2
     df = cross_section(spark, [1.0, 2.0, 3.0])
-    right = ops.assign_quantile(df, "bm", 2, closed="right", method=method)
-    left = ops.assign_quantile(df, "bm", 2, closed="left", method=method)
+    right = ops.assign_quantile(df, "bm", 2, closed="right")
+    left = ops.assign_quantile(df, "bm", 2, closed="left")
     assert bins(right) == [1, 1, 2]
     assert bins(left) == [1, 2, 2]
 
@@ -46,39 +44,35 @@ def test_given_breaks(spark, closed, expected):
     assert bins(bp.bin_number(df, "bm", "breaks", "p", 3, closed), "p") == expected
 
 
-@pytest.mark.parametrize("method", METHODS)
-def test_equal_quantiles_collapse(spark, method):
+def test_equal_quantiles_collapse(spark):
     values = [1.0, 2.0, 2.0, 2.0, 3.0]
     df = cross_section(spark, values)
-    assert bins(ops.univariate_sort(df, 5, method=method)) == exchange_bins(values, values, 5)
-    right = ops.assign_quantile(df, "bm", 5, closed="right", method=method)
+    assert bins(ops.univariate_sort(df, 5)) == exchange_bins(values, values, 5)
+    right = ops.assign_quantile(df, "bm", 5, closed="right")
     breaks = sorted({linear_quantile(values, i / 5) for i in range(1, 5)})
     assert bins(right) == [1 + sum(b < v for b in breaks) for v in values]
 
 
-@pytest.mark.parametrize("method", METHODS)
-def test_lowest_quantile_of_the_universe_is_open_ended(spark, method):
+def test_lowest_quantile_of_the_universe_is_open_ended(spark):
     # the 0 and 1/3 quantiles are equal, so only one inner break is left
     values = [1.0, 1.0, 1.0, 2.0, 3.0, 4.0]
     df = cross_section(spark, values)
-    assert bins(ops.univariate_sort(df, 3, method=method)) == exchange_bins(values, values, 3)
+    assert bins(ops.univariate_sort(df, 3)) == exchange_bins(values, values, 3)
 
 
-@pytest.mark.parametrize("method", METHODS)
-def test_universe_sets_breaks_for_all(spark, method):
+def test_universe_sets_breaks_for_all(spark):
     values = [-5.0, 1.0, 2.0, 3.0, 4.0, 99.0]
     exchanges = ["AMEX", "NYSE", "NYSE", "NYSE", "NYSE", None]
     df = cross_section(spark, values, exchanges)
-    got = bins(ops.univariate_sort(df, 2, ["NYSE"], method=method))
+    got = bins(ops.univariate_sort(df, 2, ["NYSE"]))
     assert got == [1, 1, 1, 2, 2, 2]
 
 
-@pytest.mark.parametrize("method", METHODS)
-def test_empty_or_constant_universe_gives_null(spark, method):
+def test_empty_or_constant_universe_gives_null(spark):
     none = cross_section(spark, [1.0, 2.0, 3.0], ["AMEX"] * 3)
     one = cross_section(spark, [1.0, 2.0, 3.0], ["NYSE", "AMEX", "AMEX"])
-    assert bins(ops.univariate_sort(none, 2, ["NYSE"], method=method)) == [None] * 3
-    assert bins(ops.univariate_sort(one, 2, ["NYSE"], method=method)) == [None] * 3
+    assert bins(ops.univariate_sort(none, 2, ["NYSE"])) == [None] * 3
+    assert bins(ops.univariate_sort(one, 2, ["NYSE"])) == [None] * 3
 
 
 def test_stocks_without_portfolio_are_counted(spark):
@@ -89,10 +83,9 @@ def test_stocks_without_portfolio_are_counted(spark):
     assert got == {2000: (3, 3), 2001: (3, 1)}
 
 
-@pytest.mark.parametrize("method", METHODS)
-def test_null_value_has_no_portfolio(spark, method):
+def test_null_value_has_no_portfolio(spark):
     df = cross_section(spark, [1.0, None, 3.0])
-    assert bins(ops.univariate_sort(df, 2, method=method)) == [1, None, 2]
+    assert bins(ops.univariate_sort(df, 2)) == [1, None, 2]
 
 
 def test_one_portfolio_holds_all(spark):
@@ -101,11 +94,6 @@ def test_one_portfolio_holds_all(spark):
     assert bins(ops.assign_quantile(df, "bm", 1, closed="right")) == [1, 1, 1]
 
 
-def test_unknown_method_is_refused(spark):
-    with pytest.raises(ValueError, match="method"):
-        ops.quantiles(cross_section(spark, [1.0]), "bm", [0.5], ["sorting_date"], method="x")
-
-
 def _hard_groups(seed):
     rng = random.Random(seed)
     hot = [rng.choice([0.0, 1.5]) if rng.random() < 0.5 else rng.lognormvariate(0, 3) for _ in range(6000)]
@@ -120,7 +108,7 @@ def _hard_groups(seed):
 
 
 @pytest.mark.parametrize("seed", [3, 4])
-def test_both_methods_give_the_exact_quantiles(spark, seed):
+def test_quantiles_are_exact(spark, seed):
     groups = _hard_groups(seed)
     rng = random.Random(seed)
     rows = []
@@ -130,27 +118,46 @@ def test_both_methods_give_the_exact_quantiles(spark, seed):
     df = spark.createDataFrame(rows, SV_SCHEMA).repartition(7)
     probs = [i / 10 for i in range(11)] + [1 / 3, 2 / 3, 0.123]
     populations = {"all": F.lit(True), "nyse": F.col("exchange") == "NYSE"}
-    for method in METHODS:
-        found = ops.quantiles(df, "bm", probs, ["sorting_date"], populations, method)
-        got = {(r.sorting_date, r.population): r.q for r in found.collect()}
-        assert len(got) == 2 * len(groups)
-        for date in groups:
-            for name in populations:
-                values = [
-                    r[5] for r in rows if r[3] == date and (name == "all" or r[1] == "NYSE")
-                ]
-                expected = [linear_quantile(values, p) for p in probs] if values else None
-                assert got[date, name] == expected, (method, date, name)
-
-
-def test_large_tables_are_ranked(spark, monkeypatch):
-    df = cross_section(spark, [float(i) for i in range(30)])
-    assert bp.quantile_method(df, limit=30) == "collect"
-    assert bp.quantile_method(df, limit=29) == "ranked"
-    monkeypatch.setattr(bp, "quantile_method", lambda df: "ranked")
-    monkeypatch.setattr(bp, "_collected_quantiles", None)
-    row = ops.quantiles(df, "bm", [0.5], ["sorting_date"]).first()
-    assert row.q == [14.5]
+    found = ops.quantiles(df, "bm", probs, ["sorting_date"], populations)
+    got = {(r.sorting_date, r.population): r.q for r in found.collect()}
+    assert len(got) == 2 * len(groups)
+    for date in groups:
+        for name in populations:
+            values = [r[5] for r in rows if r[3] == date and (name == "all" or r[1] == "NYSE")]
+            expected = [linear_quantile(values, p) for p in probs] if values else None
+            assert got[date, name] == expected, (date, name)
+
+
+def test_null_keys_ties_and_infinity(spark):
+    inf = float("inf")
+    rows = [(None, 4.0), (None, 1.0), (None, 2.0), (DATE, 1.0), (DATE, 2.0), (DATE, inf)]
+    rows += [(dt.date(2001, 7, 1), 3.0)] * 5 + [(dt.date(2002, 7, 1), None)]
+    df = spark.createDataFrame(rows, "sorting_date date, bm double")
+    got = {r.sorting_date: r.q for r in ops.quantiles(df, "bm", [0, 0.5, 1], ["sorting_date"]).collect()}
+    assert got[None] == [1.0, 2.0, 4.0]
+    assert got[DATE] == [1.0, 2.0, inf]
+    assert got[dt.date(2001, 7, 1)] == [3.0] * 3
+    assert got[dt.date(2002, 7, 1)] is None
+    assigned = ops.assign_quantile(df.withColumn("exchange", F.lit("NYSE")), "bm", 2)
+    assert sorted(r.portfolio for r in assigned.filter("sorting_date IS NULL").collect()) == [1, 1, 2]
+
+
+def test_quantiles_agree_with_the_database(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(11)
+    rows = [(DATE, rng.lognormvariate(0, 2)) for _ in range(501)]
+    df = spark.createDataFrame(rows, "sorting_date date, bm double")
+    probs = [i / 10 for i in range(11)]
+    got = ops.quantiles(df, "bm", probs, ["sorting_date"]).first().q
+    values = [v for _, v in rows]
+    want = duckdb.execute("SELECT quantile_cont(v, ?) FROM (SELECT unnest(?) AS v)", [probs, values]).fetchall()
+    assert all(math.isclose(a, b, rel_tol=1e-12) for a, b in zip(got, want[0][0]))
+
+
+def test_too_many_breaks_are_an_error(spark):
+    df = cross_section(spark, [1.0]).withColumn("breaks", F.array(F.lit(1.0), F.lit(2.0)))
+    with pytest.raises(Exception, match="more than 1"):
+        ops.count_below(df, "breaks", "bm", "n", 1).collect()
 
 
 @pytest.mark.parametrize("length", [0, 1, 2, 3, 7, 8, 9, 100])
