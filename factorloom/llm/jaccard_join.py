@@ -334,3 +334,35 @@ def keep_first(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) ->
     dropped = stage(found.select(F.col("doc_id").alias(name)).distinct(), "dropped")
     gone = docs["doc_id"].cast("long") == F.col(name)
     return docs.join(bounded_side(dropped, BROADCAST_ROWS), gone, "left_anti")
+
+
+SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT id, array_to_string(w[k:k + 4], ' ') AS shingle
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)
+), sizes AS (
+  SELECT id, count(*) AS n FROM s GROUP BY id
+), pairs AS (
+  SELECT x.id AS a, y.id AS b, count(*) AS n_both
+  FROM s x JOIN s y ON x.shingle = y.shingle AND x.id < y.id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes na ON na.id = a JOIN sizes nb ON nb.id = b
+  WHERE 100 * n_both >= 75 * (na.n + nb.n - n_both)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT id, id AS other FROM d
+  UNION
+  SELECT reach.id, edges.b FROM reach JOIN edges ON reach.other = edges.a
+), smallest AS (
+  SELECT reach.id, min(d.doc_id) AS component_id
+  FROM reach JOIN d ON d.id = reach.other GROUP BY reach.id
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM d JOIN smallest USING (id) LEFT JOIN sizes USING (id)
+"""

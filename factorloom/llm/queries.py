@@ -126,4 +126,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.SQL, "op7_decontamination": decontaminate.SQL}
+    return {
+        "op1_license_scan": license_scan.SQL,
+        "op5_jaccard_join": jaccard_join.SQL,
+        "op7_decontamination": decontaminate.SQL,
+    }
