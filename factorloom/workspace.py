@@ -11,9 +11,13 @@ below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def workspace_dir(spark: SparkSession) -> str:
     """Folder for scratch tables of this application.
@@ -33,9 +37,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{workspace_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Let Spark remove the shuffle files of each query inside as soon as it has ended.
+
+    Otherwise they stay until the driver happens to collect its garbage, and the disk holds those of
+    all steps so far.
+    """
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of the written table."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.partitionBy(*partition_by).parquet(path)
+    # the written table is all that is read again
+    with _shuffles_removed(spark):
+        df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
