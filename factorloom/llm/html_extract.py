@@ -5,7 +5,8 @@ block of the page: its text, and how many tags it took.  The text-to-tag ratio o
 smoothed with a Gaussian along the page, and two-means clustering of the smoothed ratios gives the
 threshold that divides content from the rest.  Lines inside elements that never hold the article
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) are left out whatever
-their ratio; where a page names its article, the lines in it are the content regions.
+their ratio.  Where content lines lie in an element that the page marks as an article, the whole of
+that element is the content region, with its short lines; teasers without a content line are not.
 
 Null, empty or textless page: empty text.  Broken markup: elements that are never closed end with the
 block that holds them.  Repeated rows each get their own result; an empty table gives none.  Very long
@@ -54,21 +55,22 @@ SIGMA = 1.0
 
 
 class _Lines(HTMLParser):
-    """Lines of a page as [text, tags, in the article]; nothing of skipped elements."""
+    """Lines of a page as (text, tags, number of the article or 0); nothing of skipped elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool]] = []
+        self.lines: list[tuple[str, int, int]] = []
         self.text: list[str] = []
         self.tags = 0
         self.open: list[tuple[str, bool]] = []
         self.skipped = 0
         self.articles = 0
+        self.n_articles = 0
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, self.articles > 0))
+            self.lines.append((text, self.tags, self.n_articles if self.articles else 0))
             self.tags = 0
         self.text.clear()
 
@@ -81,8 +83,10 @@ class _Lines(HTMLParser):
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
-            if name in ("class", "id", "role") and value and MARKS.intersection(_WORD.findall(value.lower())):
-                return True
+            if name in ("class", "id", "role") and value:
+                marks = MARKS.intersection(_WORD.findall(value.lower()))
+                if marks - ({"header"} if self.articles else set()):
+                    return True
         return False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -98,7 +102,9 @@ class _Lines(HTMLParser):
         skip = self.outside(tag, attrs)
         self.open.append((tag, skip))
         self.skipped += skip
-        self.articles += tag in ARTICLE and not self.skipped
+        if tag in ARTICLE and not self.skipped:
+            self.n_articles += not self.articles
+            self.articles += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -138,7 +144,7 @@ class _Lines(HTMLParser):
         if not self.skipped:
             self.text.append(data)
 
-    def finish(self) -> list[tuple[str, int, bool]]:
+    def finish(self) -> list[tuple[str, int, int]]:
         self.close()
         self.end_line()
         return self.lines
@@ -181,14 +187,15 @@ def main_text(html: str | None) -> str:
     lines = parser.finish()
     if not lines:
         return ""
-    if any(inside for _, _, inside in lines):
-        return "\n".join(text for text, _, inside in lines if inside)
     ratios = smoothed([len(text) / max(tags, 1) for text, tags, _ in lines])
-    cut = threshold(ratios)
     # all lines alike: one cluster, and the whole page is content
-    if max(ratios) < 2 * min(ratios):
-        cut = min(ratios)
-    return "\n".join(text for (text, _, _), r in zip(lines, ratios) if r >= cut)
+    cut = min(ratios) if max(ratios) < 2 * min(ratios) else threshold(ratios)
+    content = [r >= cut for r in ratios]
+    named = {article for _, _, article in lines} - {0}
+    regions = {article for (_, _, article), kept in zip(lines, content) if kept} - {0} or named
+    if regions:
+        content = [article in regions for _, _, article in lines]
+    return "\n".join(text for (text, _, _), kept in zip(lines, content) if kept)
 
 
 def _main_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

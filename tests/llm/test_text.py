@@ -100,6 +100,13 @@ def test_article_of_a_page():
     assert html_extract.main_text(PAGE) == "Head & line\nOne two three.\nBold text.\nCafé A"
 
 
+def test_teasers_beside_the_article():
+    long = "This is a long paragraph of the text with very many words in it. " * 5
+    teasers = "".join(f"<article><a href='/{i}'>teaser {i}</a></article>" for i in range(9))
+    page = f"<body>{teasers}<article><div class='post-header'><h1>Title</h1></div><p>{long}</p><p>{long}</p><p>End.</p></article>{teasers}</body>"
+    assert html_extract.main_text(page) == "\n".join(["Title", long.strip(), long.strip(), "End."])
+
+
 def test_density_without_an_article():
     long = "This is a long paragraph of the text with very many words in it. " * 5
     links = "".join(f"<div><a href='/{i}'>item {i}</a></div>" for i in range(12))
