@@ -7,8 +7,9 @@ subset if they hold the same of its terms, so the share of subsets on which they
 likeness.  Subsets hold an eighth to a sixty-fourth of the lexicon: small ones still agree when a
 good part of the text has changed.
 
-The lexicon has at most (mean number of distinct terms per document) / ``min_share`` terms.  Up to
-``LEXICON_ROWS`` it is sent to all tasks; beyond, terms find their lexicon entry by a shuffled join.
+The lexicon has at most (mean number of distinct terms per document) / ``min_share`` terms, whatever
+the number of documents, so it is sent to all tasks.  It is counted first: more than ``LEXICON_ROWS``
+terms are an error, which asks for a narrower band; no term is left out.
 
 Null text: empty.  Documents without a lexicon term are fingerprinted by all their terms, without any
 term by the text itself.  Equal texts have equal fingerprints.  Repeated rows and null ``doc_id``s are
