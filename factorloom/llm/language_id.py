@@ -19,7 +19,7 @@ null or repeated ``doc_id`` are scored like all others.  Other columns are ignor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -136,13 +136,30 @@ class LanguageFilter:
         return self.languages[best], round(float(share[best]) / total, 6) if total > 0 else 0.0
 
 
+#: N-grams that a task counts at a time.
+CHUNK_GRAMS = 1 << 20
+
+
+def _chunks(texts: Iterable[str]) -> Iterator[np.ndarray]:
+    """The n-grams of the texts, a bounded number (or those of one text) at a time."""
+    held: list[np.ndarray] = []
+    size = 0
+    for text in texts:
+        held.append(gram_hashes(text))
+        size += len(held[-1])
+        if size >= CHUNK_GRAMS:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if size:
+        yield np.concatenate(held)
+
+
 def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """N-gram counts of each language and batch."""
+    """N-gram counts of each language and chunk."""
     for batch in batches:
         for language, texts in batch.groupby("lang")["text"]:
-            grams = [g for t in texts if len(g := gram_hashes(t))]
-            if grams:
-                found, n = np.unique(np.concatenate(grams), return_counts=True)
+            for grams in _chunks(texts):
+                found, n = np.unique(grams, return_counts=True)
                 yield pd.DataFrame({"lang": language, "gram": found.astype(np.int64), "n": n})
 
 
