@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,56 +35,79 @@ SHARD_DOCS = 2000
 QUERY_TERMS = 12
 #: Parameters of BM25.
 K1, B = 1.2, 0.75
-#: Runs, and parts of runs, whose ids a task remembers; beyond, it forgets all.
-CACHE_ENTRIES = 200_000
+#: Runs and words whose ids a worker process remembers as young; when there are more, they become old, and the
+#: old ones that were not met again are forgotten.
+CACHE_ENTRIES = 250_000
 #: Characters that are cut into runs at a time.
 CHUNK_CHARS = 1 << 20
 
-_TAIL = ".,;:!?*#$%&|"
+_TAIL = b".,;:!?*#$%&|"
 
 
 class PieceTokenizer:
     """Token ids of texts as packed numbers, of 16 bits if the vocabulary allows.
 
-    The tokenizer never joins characters across white space, so runs between white space are
-    tokenized once and remembered.  A run of letters with punctuation after it is two such parts.
+    The tokenizer never joins characters across white space, nor a letter or digit with punctuation
+    after it, so runs between white space, and words in them, are tokenized once and remembered.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.runs: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [
-            np.asarray(e.ids, self.dtype).tobytes()
-            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ]
-
-    def _learn(self, runs: set[bytes]) -> None:
-        split = {}
-        for run in runs:
-            text = run.decode("utf-8", "surrogatepass")
-            word = text.rstrip(_TAIL)
-            split[run] = (word, text[len(word) :]) if word.isalpha() else (text, "")
-        new = list({p for parts in split.values() for p in parts if p and p not in self.parts})
-        self.parts.update(zip(new, self._encode(new)))
-        for run, parts in split.items():
-            self.runs[run] = b"".join(self.parts[p] for p in parts if p)
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _unknown(self, parts: Iterable[bytes]) -> list[bytes]:
+        """Those that neither the young nor the old hold; what is met again becomes young."""
+        young, old = self.young, self.old
+        absent = [part for part in parts if part not in young]
+        young.update((part, old[part]) for part in absent if part in old)
+        return [part for part in absent if part not in young]
+
+    def _learn(self, parts: list[bytes]) -> None:
+        texts = [(part, part.decode("utf-8", "surrogatepass")) for part in parts]
+        # letters only, in lower case too: one word each, which ends with its one end token
+        plain = [(part, t) for part, t in texts if t.isalpha() and t.lower().isalpha()]
+        ids = self.tokenizer.encode(" ".join(t for _, t in plain), add_special_tokens=False).ids
+        packed = np.asarray(ids, self.dtype)
+        ends = np.flatnonzero(self.ends_word[packed]) + 1
+        if len(ends) == len(plain):
+            size = packed.itemsize
+            cuts = [0, *(ends * size).tolist()]
+            data = packed.tobytes()
+            self.young.update((part, data[i:j]) for (part, _), i, j in zip(plain, cuts, cuts[1:]))
+            done = {part for part, _ in plain}
+            texts = [(part, t) for part, t in texts if part not in done]
+        found = self.tokenizer.encode_batch_fast([t for _, t in texts], add_special_tokens=False)
+        for (part, _), e in zip(texts, found):
+            self.young[part] = np.asarray(e.ids, self.dtype).tobytes()
 
     def _encode_chunk(self, texts: list[str]) -> list[bytes]:
-        if max(len(self.runs), len(self.parts)) > CACHE_ENTRIES:
-            self.runs.clear()
-            self.parts.clear()
         cut = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = {run for runs in cut for run in runs if run not in self.runs}
+        new = self._unknown(set().union(*cut))
         if new:
-            self._learn(new)
-        ids = self.runs.__getitem__
-        return [b"".join(map(ids, runs)) for runs in cut]
+            parts_of = {}
+            for run in new:
+                word = run.rstrip(_TAIL)
+                last = word[-4:].decode("utf-8", "ignore")[-1:] if len(word) < len(run) else ""
+                if last.isalpha() or last and last in "0123456789":
+                    parts_of[run] = word, run[len(word) :]
+            whole = {run for run in new if run not in parts_of}
+            missing = self._unknown(whole.union(*parts_of.values()))
+            if missing:
+                self._learn(missing)
+            young = self.young
+            young.update((run, young[word] + young[tail]) for run, (word, tail) in parts_of.items())
+        ids = self.young.__getitem__
+        out = [b"".join(map(ids, runs)) for runs in cut]
+        if len(self.young) > CACHE_ENTRIES:
+            self.old, self.young = self.young, {}
+        return out
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Packed ids of each text; few texts are cut at a time."""
@@ -99,12 +123,18 @@ class PieceTokenizer:
         return out + self._encode_chunk(chunk)
 
 
+@lru_cache(maxsize=1)
+def piece_tokenizer(path: str) -> PieceTokenizer:
+    """The tokenizer of a worker process, with what it remembers from task to task."""
+    return PieceTokenizer(path)
+
+
 def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Written table of row (a number), doc_id, ids (packed, with the end token), n_tokens, width
     (bytes of an id)."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = PieceTokenizer(tokenizer_path)
+        pieces = piece_tokenizer(tokenizer_path)
         end = np.asarray([END], pieces.dtype).tobytes()
         for batch in batches:
             ids = [x + end for x in pieces.encode(batch["text"])]
