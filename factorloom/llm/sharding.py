@@ -142,16 +142,16 @@ def communication_matrix(blocks: DataFrame, sizes: list[int], seed: int) -> Data
             break
         levels.append(stage(above, "shard-tree"))
         n_leaves = math.ceil(n_leaves / FANOUT)
-    spark = blocks.sparkSession
-    held = spark.range(1).select(
-        F.lit(0).cast("long").alias("parent"),
-        F.array(*[F.lit(float(x)) for x in sizes]).alias("sizes"),
-    )
+    held = None
     for depth, level in enumerate(reversed(levels)):
         members = level.groupBy("parent").agg(
             F.sort_array(F.collect_list(F.struct("block", F.col("n").cast("double").alias("n")))).alias("c")
         )
-        drawn = held.join(members, "parent").select(
+        if held is None:  # the one node at the top has all places
+            placed = members.withColumn("sizes", F.array(*[F.lit(float(x)) for x in sizes]))
+        else:
+            placed = held.join(members, "parent")
+        drawn = placed.select(
             "c",
             split_sizes(seed + 1 + depth, F.col("parent"), F.col("c.n"), F.col("sizes")).alias("rows"),
         )
