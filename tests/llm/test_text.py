@@ -223,6 +223,23 @@ def test_rare_expressions_fall_back_to_shared_counts(spark):
     assert ratios.of_word(b"common") == 0 and ratios.of_word(b"unseen") == 0
 
 
+def test_all_labelled_documents_are_counted(documents, spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 20)
+    rows = []
+    for i in range(400):
+        toxic = int(i % 4 == 0)
+        rows.append((i, toxic, f"word{i % 7} word{i % 11} " + ("vile scumbag" if toxic else "kind neighbour")))
+    docs = documents([(i, text) for i, _, text in rows])
+    labels = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, toxic int")
+    # toxic expressions only in documents that a fixed quarter held back
+    quarter = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(4)) == 0
+    docs = docs.withColumn("text", F.when(quarter, F.concat("text", F.lit(" "), F.expr("if(doc_id % 4 = 0, 'xyzzyx', 'plughs')"))).otherwise(F.col("text")))
+    model = toxicity.learn(docs, labels, F.lit(True))
+    whole = toxicity.learn_ratios(docs.join(labels, "doc_id").select("toxic", "text"))
+    assert model.ratios.expression == whole.expression
+    assert model.ratios.of_word(b"xyzzyx") > 2 > -2 > model.ratios.of_word(b"plughs")
+
+
 # fingerprints
 
 
