@@ -191,8 +191,7 @@ def main_text(html: str | None) -> str:
     # all lines alike: one cluster, and the whole page is content
     cut = min(ratios) if max(ratios) < 2 * min(ratios) else threshold(ratios)
     content = [r >= cut for r in ratios]
-    named = {article for _, _, article in lines} - {0}
-    regions = {article for (_, _, article), kept in zip(lines, content) if kept} - {0} or named
+    regions = {article for (_, _, article), kept in zip(lines, content) if kept} - {0}
     if regions:
         content = [article in regions for _, _, article in lines]
     return "\n".join(text for (text, _, _), kept in zip(lines, content) if kept)

@@ -114,6 +114,15 @@ def test_density_without_an_article():
     assert html_extract.main_text(page) == "\n".join([long.strip()] * 3)
 
 
+def test_density_beside_articles_without_content():
+    long = "This is a long paragraph of the text with very many words in it. " * 5
+    teasers = "".join(f"<article><a href='/{i}'>teaser {i}</a></article>" for i in range(9))
+    for short in (teasers, "<main><h1>Title</h1></main>" + "<div><a>x</a></div>" * 6):
+        page = f"<body>{short}<div><p>{long}</p><p>{long}</p><p>{long}</p></div></body>"
+        kept = html_extract.main_text(page).split("\n")
+        assert kept.count(long.strip()) == 3 and not any("teaser 1" in x for x in kept)
+
+
 def test_smoothing_and_threshold():
     assert html_extract.smoothed([2.0, 2.0, 2.0]) == pytest.approx([2.0] * 3)
     bump = html_extract.smoothed([0.0, 0.0, 9.0, 0.0, 0.0])
