@@ -4,8 +4,14 @@ A page goes through the standard library's event parser once.  Events become lin
 block of the page: its text, and how many tags it took.  The text-to-tag ratio of the lines is
 smoothed with a Gaussian along the page, and two-means clustering of the smoothed ratios gives the
 threshold that divides content from the rest.  Lines inside elements that never hold the article
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) are left out whatever
-their ratio.  Where content lines lie in an element that the page marks as an article, the whole of
+(menus, headers, footers, forms, scripts) are left out whatever their ratio.
+
+A class, id or role can also name an element as outside (sidebar, notice, advert, comments).  It is
+left out too if the page has a dense line of an article outside all such elements, if it holds no
+dense line itself, or if it holds neither a dense line of an article nor most of the page's text.
+The others are wrappers of the content, and their names count for nothing.
+
+Where content lines lie in an element that the page marks as an article, the whole of
 that element is the content region, with its short lines; teasers without a content line are not.
 
 Null, empty or textless page: empty text.  Broken markup: elements that are never closed end with the
@@ -46,7 +52,7 @@ MARKS = frozenset(
     " complementary contentinfo disqus".split()
 )
 ARTICLE = frozenset({"article", "main"})
-_WORD = re.compile(r"[a-z0-9]+")
+_PART = re.compile(r"[-_]+")
 _SPACE = re.compile(r"\s+")
 #: Elements that an opening block element closes, as in ``<p><b>text<p>``.
 _P_ENDS = BLOCKS - {"html", "body"}
@@ -54,25 +60,38 @@ _P_ENDS = BLOCKS - {"html", "body"}
 SIGMA = 1.0
 
 
+def is_mark(token: str, marks: frozenset = MARKS) -> bool:
+    """Whether a class, id or role consists of marks: ``cookie-notice``, but not ``has-sidebar``."""
+    parts = [part for part in _PART.split(token) if part]
+    return bool(parts) and marks.issuperset(parts)
+
+
+#: The text of a line in pieces (text, number of the innermost marked element around it or 0), its
+#: tags, and the number of its article or 0.
+Line = tuple[list[tuple[str, int]], int, int]
+
+
 class _Lines(HTMLParser):
-    """Lines of a page as (text, tags, number of the article or 0); nothing of skipped elements."""
+    """Lines of a page; nothing of skipped elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
-        self.text: list[str] = []
+        self.lines: list[Line] = []
+        self.text: list[tuple[str, int]] = []
         self.tags = 0
-        self.open: list[tuple[str, bool]] = []
+        self.open: list[tuple[str, bool, int]] = []
         self.skipped = 0
+        # the innermost marked element, and for each the one around it
+        self.marked = 0
+        self.around = [0]
         self.articles = 0
         self.n_articles = 0
 
     def end_line(self) -> None:
-        text = _SPACE.sub(" ", "".join(self.text)).strip()
-        if text:
-            self.lines.append((text, self.tags, self.n_articles if self.articles else 0))
+        if any(not piece.isspace() for piece, _ in self.text):
+            self.lines.append((self.text, self.tags, self.n_articles if self.articles else 0))
             self.tags = 0
-        self.text.clear()
+        self.text = []
 
     def outside(self, tag: str, attrs: list) -> bool:
         # the header of an article holds its headline
@@ -80,14 +99,18 @@ class _Lines(HTMLParser):
             return True
         if tag in ("html", "body", "article", "main"):
             return False
-        for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if name in ("class", "id", "role") and value:
-                marks = MARKS.intersection(_WORD.findall(value.lower()))
-                if marks - ({"header"} if self.articles else set()):
-                    return True
-        return False
+        return any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs)
+
+    def named_outside(self, tag: str, attrs: list) -> bool:
+        if tag in ("html", "body", "article", "main"):
+            return False
+        marks = MARKS - {"header"} if self.articles else MARKS
+        return any(
+            is_mark(token, marks)
+            for name, value in attrs
+            if name in ("class", "id", "role") and value
+            for token in value.lower().split()
+        )
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -96,12 +119,15 @@ class _Lines(HTMLParser):
             if tag in _P_ENDS:
                 self.close_paragraph(tag)
         if tag == "br":
-            self.text.append(" ")
+            self.text.append((" ", self.marked))
         if tag in VOID:
             return
         skip = self.outside(tag, attrs)
-        self.open.append((tag, skip))
+        self.open.append((tag, skip, self.marked))
         self.skipped += skip
+        if not self.skipped and self.named_outside(tag, attrs):
+            self.around.append(self.marked)
+            self.marked = len(self.around) - 1
         if tag in ARTICLE and not self.skipped:
             self.n_articles += not self.articles
             self.articles += 1
@@ -123,9 +149,10 @@ class _Lines(HTMLParser):
                 return
 
     def pop_to(self, i: int) -> None:
-        for tag, skip in reversed(self.open[i:]):
+        for tag, skip, before in reversed(self.open[i:]):
             self.articles -= tag in ARTICLE and not self.skipped
             self.skipped -= skip
+            self.marked = before
         del self.open[i:]
 
     def handle_endtag(self, tag: str) -> None:
@@ -142,9 +169,9 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.skipped:
-            self.text.append(data)
+            self.text.append((data, self.marked))
 
-    def finish(self) -> list[tuple[str, int, int]]:
+    def finish(self) -> list[Line]:
         self.close()
         self.end_line()
         return self.lines
@@ -178,19 +205,68 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def without(lines: list[Line], outside: list[bool]) -> list[tuple[str, int, int]]:
+    """Lines as (text, tags, article) without the pieces in elements that are ``outside``.
+
+    The tags of a line that is gone count for the next one, as those of skipped elements do.
+    """
+    out, more = [], 0
+    for pieces, tags, article in lines:
+        text = _SPACE.sub(" ", "".join([piece for piece, marked in pieces if not outside[marked]])).strip()
+        more += tags
+        if text:
+            out.append((text, more, article))
+            more = 0
+    return out
+
+
+def dense(lines: list[tuple[str, int, int]]) -> list[bool]:
+    """Whether each line is content by its smoothed ratio."""
+    ratios = smoothed([len(text) / max(tags, 1) for text, tags, _ in lines])
+    # all lines alike: one cluster, and the whole page is content
+    cut = min(ratios) if max(ratios) < 2 * min(ratios) else threshold(ratios)
+    return [r >= cut for r in ratios]
+
+
+def left_out(lines: list[Line], around: list[int]) -> list[bool]:
+    """Whether each marked element is outside the content; ``around`` has the one around each."""
+    n = len(around)
+    outside = [False] + [True] * (n - 1)
+    if n == 1:
+        return outside
+    # size of the text, and whether there is a dense line, and one of an article
+    size, has_dense, has_article = [0] * n, [False] * n, [False] * n
+    for (pieces, _, article), kept in zip(lines, dense(without(lines, [False] * n))):
+        for piece, i in pieces:
+            if here := len(piece.strip()):
+                size[i] += here
+                has_dense[i] = has_dense[i] or kept
+                has_article[i] = has_article[i] or kept and article > 0
+    direct = has_article.copy()
+    # an element has a larger number than the one around it
+    for i in range(n - 1, 0, -1):
+        size[around[i]] += size[i]
+        has_dense[around[i]] |= has_dense[i]
+        has_article[around[i]] |= has_article[i]
+    found = direct[0]
+    for i in range(1, n):
+        if not found and not outside[around[i]] and has_dense[i] and (has_article[i] or 2 * size[i] > size[0]):
+            outside[i] = False
+            found = direct[i]
+    return outside
+
+
 def main_text(html: str | None) -> str:
     """Content lines of one page, joined by line feeds."""
     if not html:
         return ""
     parser = _Lines()
     parser.feed(html)
-    lines = parser.finish()
+    found = parser.finish()
+    lines = without(found, left_out(found, parser.around))
     if not lines:
         return ""
-    ratios = smoothed([len(text) / max(tags, 1) for text, tags, _ in lines])
-    # all lines alike: one cluster, and the whole page is content
-    cut = min(ratios) if max(ratios) < 2 * min(ratios) else threshold(ratios)
-    content = [r >= cut for r in ratios]
+    content = dense(lines)
     regions = {article for (_, _, article), kept in zip(lines, content) if kept} - {0}
     if regions:
         content = [article in regions for _, _, article in lines]

@@ -123,6 +123,31 @@ def test_density_beside_articles_without_content():
         assert kept.count(long.strip()) == 3 and not any("teaser 1" in x for x in kept)
 
 
+@pytest.mark.parametrize(
+    "attribute",
+    ["class='layout has-sidebar'", "class='no-banner'", "class='page-with-comments'", "class='share-enabled'",
+     "id='search-page'", "class='search'", "id=sidebar"],
+)
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_names_of_wrappers(attribute, tag):
+    long = "This is a long paragraph of the text with very many words in it. " * 5
+    links = "".join(f"<div><a href='/{i}'>item {i}</a></div>" for i in range(8))
+    body = f"<{tag}><p>{long}</p><p>{long}</p><p>{long}</p></{tag}>"
+    page = f"<body>{links}<div {attribute}>{body}<div class='comments'><p>me too</p></div></div>{links}</body>"
+    assert html_extract.main_text(page) == "\n".join([long.strip()] * 3)
+
+
+def test_long_comments_beside_and_inside_the_article():
+    long = "This is a long paragraph of the text with very many words in it. " * 5
+    notes = "".join(f"<article class=note><p>{long} no {i}</p></article>" for i in range(9))
+    for page in (
+        f"<article><p>{long}</p><p>{long}</p></article><div class='comments'>{notes}</div>",
+        f"<div id=search><main><p>{long}</p><p>{long}</p><div class='comments'>{notes}</div></main></div>",
+        f"<article><p>{long}</p><p>{long}<span class=ad>buy</span></p></article><div class='cookie-notice'>{long}</div>",
+    ):
+        assert html_extract.main_text(page) == "\n".join([long.strip()] * 2)
+
+
 def test_smoothing_and_threshold():
     assert html_extract.smoothed([2.0, 2.0, 2.0]) == pytest.approx([2.0] * 3)
     bump = html_extract.smoothed([0.0, 0.0, 9.0, 0.0, 0.0])
