@@ -9,7 +9,10 @@ The inverted index is sharded: token ids are the terms, their document frequenci
 all documents, and a document goes to the shard of its most telling term.  A term that leads many
 documents gets several shards, and terms that lead few share one, so shards have about ``SHARD_DOCS``
 documents whatever the text.  Each shard builds its index and fills its windows in one task; texts
-and ids stay outside, a shard sees only lengths and ``QUERY_TERMS`` weighted terms of each document.
+and ids stay outside, a shard sees only lengths and the weighted terms of each document, all of them.
+
+Neighbours are searched in the shard of the seed only: documents with another leading term are never
+found, nor those that a hot leading term puts into another shard.  The README has the recall.
 
 Null text: empty, it still has its end token.  Repeated rows and ``doc_id``s are documents of their
 own.  Ties between neighbours go to the smaller row number.  An empty table gives no pieces.  A very
@@ -32,7 +35,6 @@ from ..workspace import scratch_path, stage
 WINDOW = 2048
 END = 1
 SHARD_DOCS = 2000
-QUERY_TERMS = 12
 #: Parameters of BM25.
 K1, B = 1.2, 0.75
 #: Runs and words whose ids a worker process remembers as young; when there are more, they become old, and the
@@ -176,27 +178,25 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"token": at, "df": seen[at]})
 
 
-def telling_terms(
-    tokens: np.ndarray, idf: np.ndarray, mean_length: float, n_terms: int = QUERY_TERMS
-) -> tuple[list[int], list[float]]:
-    """The terms of a document with the largest BM25 weights, largest first, and the weights."""
+def telling_terms(tokens: np.ndarray, idf: np.ndarray, mean_length: float) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of a document, the one with the largest BM25 weight first, and the weights."""
     terms, n = np.unique(tokens, return_counts=True)
     weight = idf[terms] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(tokens) / mean_length))
-    order = np.lexsort((terms, -weight))[:n_terms]
-    return [int(t) for t in terms[order]], [float(w) for w in weight[order]]
+    order = np.lexsort((terms, -weight))
+    return terms[order].astype(np.int32), weight[order].astype(np.float32)
 
 
 def fill_windows(
     lengths: list[int], terms: list, weights: list, window: int = WINDOW
 ) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one shard's documents."""
-    index: dict[int, tuple[list[int], list[float]]] = {}
-    for doc, (ts, ws) in enumerate(zip(terms, weights)):
-        for t, w in zip(ts, ws):
-            docs, each = index.setdefault(t, ([], []))
-            docs.append(doc)
-            each.append(w)
-    postings = {t: (np.array(docs), np.array(each)) for t, (docs, each) in index.items()}
+    sizes = [len(ts) for ts in terms]
+    all_terms = np.concatenate([np.asarray(ts, np.int64) for ts in terms] or [np.empty(0, np.int64)])
+    by_term = np.argsort(all_terms, kind="stable")
+    all_docs = np.repeat(np.arange(len(terms)), sizes)[by_term]
+    all_weights = np.concatenate([np.asarray(ws, float) for ws in weights] or [np.empty(0)])[by_term]
+    known, first = np.unique(all_terms[by_term], return_index=True)
+    first = np.append(first, len(all_terms))
     left = np.array(lengths, np.int64)
     pieces: list[tuple[int, int, int, int, int]] = []
     sequence, room = 0, window
@@ -216,10 +216,12 @@ def fill_windows(
             put(seed)
         if room == window or not len(terms[seed]):
             continue
-        listed = [postings[t] for t in terms[seed]]
+        at = np.searchsorted(known, np.asarray(terms[seed], np.int64))
+        listed = [slice(i, j) for i, j in zip(first[at].tolist(), first[at + 1].tolist())]
         scores = np.bincount(
-            np.concatenate([docs for docs, _ in listed]),
-            np.concatenate([w * each for w, (_, each) in zip(weights[seed], listed)]),
+            np.concatenate([all_docs[x] for x in listed]),
+            np.concatenate([all_weights[x] for x in listed])
+            * np.repeat(np.asarray(weights[seed], float), first[at + 1] - first[at]),
             len(lengths),
         )
         scores[left == 0] = 0
@@ -251,7 +253,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_docs:
                 {
                     "row": batch["row"],
                     "n_tokens": batch["n_tokens"],
-                    "lead": [t[0] if t else -1 for t, _ in told],
+                    "lead": [int(t[0]) if len(t) else -1 for t, _ in told],
                     "terms": [t for t, _ in told],
                     "weights": [w for _, w in told],
                 }
@@ -259,7 +261,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_docs:
 
     described = stage(
         rows.select("row", "n_tokens", "ids", "width").mapInPandas(
-            describe, "row long, n_tokens long, lead long, terms array<long>, weights array<double>"
+            describe, "row long, n_tokens long, lead long, terms array<int>, weights array<float>"
         ),
         "pack-terms",
     )
@@ -277,9 +279,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_docs:
         shard = shard.sort_values("row")
         number = shard["row"].to_numpy()
         lengths = [int(n) for n in shard["n_tokens"]]
-        found = fill_windows(
-            lengths, [t.tolist() for t in shard["terms"]], [w.tolist() for w in shard["weights"]], window
-        )
+        found = fill_windows(lengths, list(shard["terms"]), list(shard["weights"]), window)
         out = pd.DataFrame(found, columns=["doc", "start", "length", "sequence", "offset"], dtype=np.int64)
         out["row"] = number[out["doc"].to_numpy(int)] if len(out) else np.empty(0, np.int64)
         out["sequence_id"] = out["sequence"] + (int(shard["shard"].iloc[0]) << 32)

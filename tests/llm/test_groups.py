@@ -181,6 +181,14 @@ def test_neighbours_share_a_window():
     assert topics == {0: {0}, 1: {1}}
 
 
+def test_neighbours_by_any_term():
+    # the first and the last share one term, which is not among the heaviest of either
+    tokens = [[*range(14)] * 5 + [100], [50] * 71, [51] * 71, [*range(20, 34)] * 5 + [100]]
+    told = [packing.telling_terms(np.array(x), np.ones(101), 71) for x in tokens]
+    pieces = packing.fill_windows([10] * 4, [t for t, _ in told], [w for _, w in told], window=20)
+    assert {doc for doc, _, _, sequence, _ in pieces if sequence == 0} == {0, 3}
+
+
 def test_packing_edges(messy, empty):
     docs = [(r["doc_id"], r["text"]) for r in messy.select("doc_id", "text").collect()]
     check_pieces(packing.pack(messy, PATH).collect(), docs, 2048)
