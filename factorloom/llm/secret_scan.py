@@ -7,7 +7,8 @@ or hexadecimal run is decoded, and reported only if its bytes have the structure
 - ``openssh``: the magic of an OpenSSH private key and nested length-prefixed fields,
 - ``jwt``: a signed token, three parts whose first is a JSON object with an algorithm.
 
-A run may be broken over lines, as in a PEM block.  Offsets are code points, ends exclusive.  Null
+A run may be broken over lines, as in a PEM block.  A key ends where its outer length says, if that
+is the end of a line; words of later lines do not belong to it.  Offsets are code points, ends exclusive.  Null
 text: no secrets.  Repeated rows each get their own result; an empty table gives none.  Other columns
 are kept, whatever their names.
 """
@@ -80,6 +81,26 @@ def is_private_key(data: bytes) -> bool:
     return tags[1:] == [0x02] * 8 or tags[1:2] == [0x04] or tags[1:3] == [0x30, 0x04]
 
 
+def without_next_lines(run: str) -> str:
+    """A base64 run of several lines, up to the line end at which the outer ASN.1 length ends, if any."""
+    if "\n" not in run:
+        return run
+    head = base64.b64decode(run[:8])
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if head[0] != 0x30 or n > 4:
+        return run
+    size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+    # characters of the key without padding; line ends lie between them
+    left, upto = -(-size * 8 // 6), 0
+    for line in run.split("\n"):
+        here = len(line.rstrip("\r"))
+        if here >= left:
+            return run[: upto + left] if here == left else run
+        left -= here
+        upto += len(line) + 1
+    return run
+
+
 def is_openssh_key(data: bytes) -> bool:
     """Cipher, derivation and options as length-prefixed fields, then the number of keys."""
     if not data.startswith(_OPENSSH):
@@ -111,12 +132,13 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
             (m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20
         ]
     found += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
-    runs = [(m, bytes.fromhex(m[0])) for m in _HEX_BYTES.finditer(text)]
-    runs += [(m, data) for m in _BASE64.finditer(text) if (data := _decoded(m[0]))]
-    for m, data in runs:
+    runs = [(m.start(), m[0], bytes.fromhex(m[0])) for m in _HEX_BYTES.finditer(text)]
+    encoded = ((m.start(), without_next_lines(m[0])) for m in _BASE64.finditer(text))
+    runs += [(start, run, data) for start, run in encoded if (data := _decoded(run))]
+    for start, run, data in runs:
         kind = "der" if is_private_key(data) else "openssh" if is_openssh_key(data) else None
         if kind:
-            found.append((m.start(), m.end(), kind))
+            found.append((start, start + len(run), kind))
     if "eyJ" in text:
         found += [
             (m.start(), m.end(), "jwt") for m in _SIGNED.finditer(text) if is_signed_token(m[1])

@@ -63,6 +63,18 @@ def test_structures_are_confirmed():
     assert secret_scan.find_secrets("A" * 200) == []
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("word", ["x", "in", "the", "word", "token=", "prosewords"])
+def test_a_key_ends_before_a_line_of_prose(end, word):
+    for extra in range(3):
+        key = der((b"\x02", b"\0"), *[(b"\x02", bytes([i + 1]) * 60) for i in range(7)], (b"\x02", b"\7" * (60 + extra)))
+        bare = base64.b64encode(key).decode().rstrip("=")
+        for run in (bare, end.join(bare[i : i + 64] for i in range(0, len(bare), 64))):
+            text = f"{run}{end}{word} and more"
+            assert secret_scan.find_secrets(text) == [(0, len(run), "der")]
+            assert secret_scan.masked(text, "#") == f"#{end}{word} and more"
+
+
 def test_secret_columns(messy, empty):
     rows = secret_scan.digest(secret_scan.scan(messy, "found"), "found").collect()
     assert len(rows) == messy.count()
