@@ -4,8 +4,8 @@ Toxic documents go, one document of each near-duplicate group stays, documents w
 go, secrets are masked, and what is left is packed into sequences.
 
 Each stage reads null texts as empty.  An empty table gives an empty result.  Extra columns are kept
-up to packing.  Rows that repeat a ``doc_id`` are one document to the near-duplicate stage and stay or
-go together; rows without a ``doc_id`` stay there.
+up to packing.  Rows that repeat a ``doc_id`` stay or go by their own texts in the near-duplicate
+stage; rows without a ``doc_id`` stay there.
 """
 
 from __future__ import annotations

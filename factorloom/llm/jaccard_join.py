@@ -308,8 +308,8 @@ def link_groups(firsts: DataFrame, fragments: DataFrame, percent: int, rounds: i
     return _grouped(labels, stage(linked(pairs, fragments, percent), "links"))
 
 
-def components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def _components(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """One row per document: doc_id, text_key, n_shingles, component_id."""
     sets = described(docs, n_words, percent)
     classes = linkable_classes(sets, percent)
     ordered = ordered_sets(class_members(docs, classes, n_words), percent)
@@ -320,19 +320,31 @@ def components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) ->
     smallest = grouped.groupBy("label").agg(F.min("min_doc").alias("component_id"))
     named = stage(grouped.join(smallest, "label").select("key", "n", "component_id"), "components")
     return sets.join(named, ["key", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id",
+        "text_key",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
     )
 
 
+def components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    return _components(docs, n_words, percent).drop("text_key")
+
+
 def keep_first(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents whose id is the smallest of their component, all columns kept.
 
-    Rows with the same ``doc_id`` stay or go together; rows without one stay.
+    Rows with the same ``doc_id`` stay or go each by its own text.  Repeated rows of the id that names
+    a component all stay, and so do rows without a ``doc_id``.
     """
-    found = components(docs, n_words, percent).filter("doc_id <> component_id")
-    name = free_name(docs, "dropped_id")
-    dropped = stage(found.select(F.col("doc_id").alias(name)).distinct(), "dropped")
-    gone = docs["doc_id"].cast("long") == F.col(name)
+    found = _components(docs, n_words, percent).filter("doc_id <> component_id")
+    name, key = free_name(docs, "dropped_id"), free_name(docs, "dropped_key")
+    dropped = stage(
+        found.select(F.col("doc_id").alias(name), F.col("text_key").alias(key)).distinct(), "dropped"
+    )
+    text_key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    gone = (docs["doc_id"].cast("long") == F.col(name)) & (text_key == F.col(key))
     return docs.join(bounded_side(dropped, BROADCAST_ROWS), gone, "left_anti")
 
 

@@ -103,6 +103,14 @@ def test_keep_first(documents):
     assert sorted(r["doc_id"] for r in jaccard_join.keep_first(docs).collect()) == [1, 2, 9]
 
 
+def test_keep_first_of_repeated_ids(documents):
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = documents([(1, text), (2, text + " end"), (2, "a text of its own")], clashes=True)
+    kept = jaccard_join.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, text), (2, "a text of its own")]
+
+
 # packing
 
 tokenizers = pytest.importorskip("tokenizers")
