@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from . import (
     decontaminate,
+    hard_negatives,
     html_extract,
     imatch,
     jaccard_join,
     language_id,
     license_scan,
     packing,
+    ranked_search,
     secret_scan,
     sharding,
+    suffix_dedup,
     toxicity,
 )
 
@@ -109,6 +112,21 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_with_next(docs, imatch.lexicon(docs))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(documents(spark, sf_dir))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"), "item_id")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label)
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_license_scan,
@@ -121,6 +139,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_sharding,
         op9_secret_scan,
         op10_imatch,
+        op11_ranked_search,
+        op12_hard_negatives,
+        op13_suffix_dedup,
     )
     return {query.__name__: query for query in found}
 
@@ -130,4 +151,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": license_scan.SQL,
         "op5_jaccard_join": jaccard_join.SQL,
         "op7_decontamination": decontaminate.SQL,
+        "op11_ranked_search": ranked_search.SQL,
+        "op12_hard_negatives": hard_negatives.SQL,
+        "op13_suffix_dedup": suffix_dedup.SQL,
     }
