@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -80,6 +81,7 @@ class _Lines(HTMLParser):
         self.text: list[tuple[str, int]] = []
         self.tags = 0
         self.open: list[tuple[str, bool, int]] = []
+        self.names = Counter()  # of the open tags
         self.skipped = 0
         # the innermost marked element, and for each the one around it
         self.marked = 0
@@ -124,6 +126,7 @@ class _Lines(HTMLParser):
             return
         skip = self.outside(tag, attrs)
         self.open.append((tag, skip, self.marked))
+        self.names[tag] += 1
         self.skipped += skip
         if not self.skipped and self.named_outside(tag, attrs):
             self.around.append(self.marked)
@@ -140,6 +143,8 @@ class _Lines(HTMLParser):
     def close_paragraph(self, tag: str) -> None:
         """An open paragraph, or item before an item, ends where the next block begins."""
         ends = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}.get(tag, {"p"})
+        if not any(self.names[name] for name in ends):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             name = self.open[i][0]
             if name in ends:
@@ -150,6 +155,7 @@ class _Lines(HTMLParser):
 
     def pop_to(self, i: int) -> None:
         for tag, skip, before in reversed(self.open[i:]):
+            self.names[tag] -= 1
             self.articles -= tag in ARTICLE and not self.skipped
             self.skipped -= skip
             self.marked = before
@@ -159,6 +165,8 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.end_line()
+        if not self.names[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 self.pop_to(i)
@@ -167,6 +175,13 @@ class _Lines(HTMLParser):
             if self.open[i][0] in BLOCKS and tag not in BLOCKS:
                 return
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A section of an unknown kind is a comment, as in browsers."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def handle_data(self, data: str) -> None:
         if not self.skipped:
             self.text.append((data, self.marked))
