@@ -117,7 +117,8 @@ def is_openssh_key(data: bytes) -> bool:
 def is_signed_token(header: str) -> bool:
     try:
         said = json.loads(base64.urlsafe_b64decode(header + "=" * (-len(header) % 4)))
-    except (binascii.Error, ValueError):
+    except (binascii.Error, ValueError, RecursionError):
+        # no JSON, or nested too deep for a header
         return False
     return isinstance(said, dict) and isinstance(said.get("alg"), str)
 
