@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import stage
-from .cross_section import bin_number, breakpoints, join_on
+from .cross_section import bin_number, breakpoints, double_breaks, join_on, nested_bin
 
 SORT_DATE = ("sorting_date",)
 
@@ -46,9 +46,29 @@ def double_sort(
 
     With ``dependent`` the book-to-market breaks are those of the size portfolio.
     """
-    sized = assign_quantile(sv, "me", n_size, out="portfolio_me")
-    by = ["sorting_date", "portfolio_me"] if dependent else ["sorting_date"]
-    return assign_quantile(sized, "bm", n_bm, by, out="portfolio_bm")
+    return _double_sort(sv, n_size, n_bm, None, "right", dependent, "portfolio_bm")
+
+
+def _double_sort(
+    sv: DataFrame,
+    n_size: int,
+    n_bm: int,
+    universe: Sequence[str] | None,
+    closed: str,
+    dependent: bool,
+    out: str,
+) -> DataFrame:
+    """All breaks, written, then both bins from one read of the cross-sections."""
+    breaks = double_breaks(
+        sv, "me", "bm", n_size, n_bm, SORT_DATE, universe, closed, not dependent, dependent
+    )
+    found = join_on(sv, stage(breaks, "breaks"), SORT_DATE, "left")
+    found = bin_number(found, "me", "first_breaks", "portfolio_me", n_size, closed)
+    if dependent:
+        found = nested_bin(found, "bm", "portfolio_me", out, n_bm, closed)
+    else:
+        found = bin_number(found, "bm", "second_breaks", out, n_bm, closed)
+    return found.drop("first_breaks", "second_breaks", "nested")
 
 
 def univariate_sort(
@@ -72,11 +92,7 @@ def conditional_sort(
     With ``pool`` the size portfolio is dropped, so that equal book-to-market
     portfolios of all sizes form one.
     """
-    sized = assign_quantile(
-        sv, "me", n_size, universe=universe, closed="left", out="portfolio_me"
-    )
-    by = ["sorting_date", "portfolio_me"]
-    both = assign_quantile(sized, "bm", n, by, universe=universe, closed="left")
+    both = _double_sort(sv, n_size, n, universe, "left", True, "portfolio")
     return both.drop("portfolio_me") if pool else both
 
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import inner_breaks
-from ..operators.cross_section import bin_number, join_on, quantiles, stacked
-from ..operators.portfolios import SORT_DATE, assign_quantile
+from ..operators.cross_section import bin_number, double_breaks, join_on, nested_bin
+from ..operators.portfolios import SORT_DATE
 from ..operators.premium import high_minus_low, mean_premium, size_neutral
 from ..operators.returns import cell_sums, returns_from_sums
 from ..workspace import stage
@@ -20,21 +19,11 @@ def design_premiums(sv: DataFrame, returns: DataFrame) -> DataFrame:
     stock gets all three numbers, the returns are joined once, and the designs
     are told apart only on the sums per date and cell (at most 27 a month).
     """
-    both = stacked(sv, ["me", "bm"], "sorting_date")
-    found = quantiles(both, "value", [1 / 3, 2 / 3], ["sorting_date", "variable"])
-
-    def of(variable: str):
-        return F.max(F.when(F.col("variable") == variable, inner_breaks(F.col("q"))))
-
-    breaks = found.groupBy("sorting_date").agg(
-        of("me").alias("me_breaks"), of("bm").alias("bm_breaks")
-    )
-    ids = join_on(sv, stage(breaks, "breaks"), SORT_DATE)
-    ids = bin_number(ids, "me", "me_breaks", "portfolio_me", 3, "right")
-    ids = bin_number(ids, "bm", "bm_breaks", "bm_independent", 3, "right")
-    ids = assign_quantile(
-        ids, "bm", 3, ["sorting_date", "portfolio_me"], out="bm_dependent"
-    )
+    breaks = stage(double_breaks(sv, "me", "bm", 3, 3, SORT_DATE), "breaks")
+    ids = join_on(sv, breaks, SORT_DATE)
+    ids = bin_number(ids, "me", "first_breaks", "portfolio_me", 3, "right")
+    ids = bin_number(ids, "bm", "second_breaks", "bm_independent", 3, "right")
+    ids = nested_bin(ids, "bm", "portfolio_me", "bm_dependent", 3, "right")
     cells = cell_sums(ids, returns, ["portfolio_me", "bm_independent", "bm_dependent"])
     designs = [
         F.struct(F.lit(name).alias("design"), F.col(column).alias("portfolio_bm"))

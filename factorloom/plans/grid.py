@@ -181,13 +181,10 @@ def _breaks(sv: DataFrame, axes: GridAxes) -> tuple[DataFrame, DataFrame]:
     )
 
     size_picks = F.array(*[F.get("q", F.lit(probs.index(Fraction(i, N_SIZE)))) for i in range(N_SIZE + 1)])
-    size = stage(
-        found.filter("variable = 'me'").select(
-            "sorting_date",
-            "population",
-            interior_breaks(F.when(F.col("q").isNotNull(), size_picks)).alias("me_breaks"),
-        ),
-        "size-breaks",
+    size = found.filter("variable = 'me'").select(
+        "sorting_date",
+        "population",
+        interior_breaks(F.when(F.col("q").isNotNull(), size_picks)).alias("me_breaks"),
     )
     parts = []
     if False in axes.dependent:

@@ -41,14 +41,13 @@ def grid_summary(
     results: DataFrame, axes: Sequence[str] = AXES, critical: float = 1.96
 ) -> DataFrame:
     """Spread of the estimates per test, overall and for every option of each axis."""
-    flagged = flag_significant(results, critical)
-    slices = [F.struct(F.lit("all").alias("axis"), F.lit("all").alias("option"))]
-    slices += [
-        F.struct(F.lit(a).alias("axis"), F.col(a).cast("string").alias("option")) for a in axes
-    ]
-    rows = flagged.select("test", "estimate", "is_significant", F.inline(F.array(*slices)))
+    flagged = flag_significant(results, critical).select(
+        "test", "estimate", "is_significant", *[F.col(a).cast("string").alias(a) for a in axes]
+    )
+    rows = flagged.groupingSets([["test"], *[["test", a] for a in axes]], "test", *axes)
     estimate = F.col("estimate")
-    return rows.groupBy("test", "axis", "option").agg(
+    summary = rows.agg(
+        *[(F.grouping(a) == 0).alias(f"_by_{a}") for a in axes],
         F.count("*").alias("n_specs"),
         F.count(estimate).alias("n_estimates"),
         F.count_if(F.col("is_significant")).alias("n_significant"),
@@ -59,3 +58,7 @@ def grid_summary(
         F.median(estimate).alias("median_estimate"),
         F.stddev_samp(estimate).alias("sd_estimate"),
     )
+    axis = F.coalesce(*[F.when(F.col(f"_by_{a}"), F.lit(a)) for a in axes], F.lit("all"))
+    option = F.coalesce(*[F.when(F.col(f"_by_{a}"), F.col(a)) for a in axes], F.lit("all"))
+    kept = [c for c in summary.columns if c.startswith("n_") and c not in axes or c.endswith("_estimate")]
+    return summary.select("test", axis.alias("axis"), option.alias("option"), *kept)

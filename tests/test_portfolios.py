@@ -2,13 +2,16 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from factorloom import operators as ops
 from factorloom.operators import cross_section as bp
+from factorloom.workspace import stage, workspace_dir
 
 from .helpers import RETURN_SCHEMA, SV_SCHEMA, exchange_bins, linear_quantile, random_market
 
@@ -274,3 +277,45 @@ def test_size_neutral_mean_counts_sizes_equally(spark):
     rows = [(dt.date(2000, 1, 1), 1, m, r) for m, r in ((1, 0.0), (2, 0.3), (3, None))]
     df = spark.createDataFrame(rows, "date date, portfolio_bm int, portfolio_me int, ret double")
     assert math.isclose(ops.size_neutral(df).first().ret, 0.15)
+
+
+def test_quantiles_read_once_and_write_nothing(spark):
+    sv, _ = random_market(n_stocks=80, seed=11)
+    df = stage(spark.createDataFrame(sv, SV_SCHEMA), "one-read")
+    before = set(os.listdir(workspace_dir(spark)))
+    found = bp.quantiles(df, "bm", [0.2, 0.5], ["sorting_date"], {"a": F.col("exchange") == "NYSE"})
+    assert found.count() == 4
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        # the ranges are sorted in one exchange, which both uses of them read
+        sort_merge = re.findall(r"SortMergeJoin", plan)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert set(os.listdir(workspace_dir(spark))) == before
+    assert len(sort_merge) <= 1 and "MapIn" not in plan
+
+
+def test_a_hot_group_is_split_into_ranges(spark):
+    """One group holds nearly all rows: its values are sorted in many ranges, with the same result."""
+    rng = random.Random(2)
+    values = {dt.date(2000, 7, 1): [rng.random() for _ in range(20_000)], DATE.replace(year=2001): [1.0, 2.0, 4.0]}
+    rows = [(i, "NYSE", "x", d, v, v) for d, vs in values.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, SV_SCHEMA)
+    counts = bp.value_counts(df, ["sorting_date"], ["bm"], {"all": F.lit(True)})
+    ordered = counts.select("_g", F.struct(F.xxhash64("_g").alias("g"), F.col("bm").alias("x")).alias("_o"))
+    fences = ordered.select(bp._fences(ordered).alias("f")).limit(1).collect()[0].f
+    assert bp.FENCES // 2 < len(fences) <= bp.FENCES
+    probs = [0.0, 0.1, 1 / 3, 0.5, 0.999, 1.0]
+    for row in bp.quantiles(df, "bm", probs, ["sorting_date"]).collect():
+        expected = [linear_quantile(values[row.sorting_date], p) for p in probs]
+        assert row.q == pytest.approx(expected, abs=1e-15)
+
+
+def test_null_groups_and_empty_populations(spark):
+    rows = [(1, "NYSE", "x", None, 1.0, 5.0), (2, "NYSE", "x", None, 2.0, 7.0), (3, "AMEX", "x", DATE, 3.0, 9.0)]
+    df = spark.createDataFrame([*rows, (4, "NYSE", "x", DATE, 1.0, None)], SV_SCHEMA)
+    found = bp.quantiles(df, "bm", [0.5], ["sorting_date"], {"n": F.col("exchange") == "NYSE", "all": F.lit(True)})
+    got = {(r.sorting_date, r.population): r.q for r in found.collect()}
+    assert got == {(None, "n"): [6.0], (None, "all"): [6.0], (DATE, "n"): None, (DATE, "all"): [9.0]}
