@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -22,15 +23,20 @@ _studies: dict[tuple, "_Study"] = {}
 
 
 class _Study(plans.Study):
-    """A study over one data folder, with the grid results several reports share."""
+    """A study over one data folder, with the results several reports share."""
 
-    _results: DataFrame | None = None
+    @cached_property
+    def _both(self) -> tuple[DataFrame, DataFrame]:
+        comparison, grid = self.comparison_and_grid(AXES)
+        return comparison, stage(grid, "grid-results")
 
     @property
     def results(self) -> DataFrame:
-        if self._results is None:
-            self._results = stage(self.grid(AXES), "grid-results")
-        return self._results
+        return self._both[1]
+
+    @property
+    def shared_comparison(self) -> DataFrame:
+        return self._both[0]
 
 
 def _still_written(known: _Study) -> bool:
@@ -283,6 +289,16 @@ def grid_results(s: _Study) -> DataFrame:
     return _rounded(s.grid(AXES).drop("_order"), **TEST_DIGITS)
 
 
+def shared_comparison(s: _Study) -> DataFrame:
+    """The comparison from the sums that the grid uses too."""
+    return _rounded(s.shared_comparison.drop("_order"), value_premium=10)
+
+
+def shared_grid(s: _Study) -> DataFrame:
+    """The grid from the sums that the comparison uses too."""
+    return _rounded(s.results.drop("_order"), **TEST_DIGITS)
+
+
 # reports
 
 
@@ -342,6 +358,8 @@ QUERIES: list[Callable[[_Study], DataFrame]] = [
     value_premium,
     grid_custom_sample,
     grid_results,
+    shared_comparison,
+    shared_grid,
     significance_flags,
     estimate_histogram,
     reference_lines,

@@ -461,6 +461,13 @@ def oracle_sql() -> dict[str, str]:
                       round(estimate, 10) + 0.0 AS estimate, round(t_stat, 8) + 0.0 AS t_stat, n_obs
                FROM grid_results""",
         ),
+        "shared_comparison": _sql(double, comparison),
+        "shared_grid": _sql(
+            results,
+            """SELECT spec_id, n_portfolios, universe, weighting, dependent, sample, test,
+                      round(estimate, 10) + 0.0 AS estimate, round(t_stat, 8) + 0.0 AS t_stat, n_obs
+               FROM grid_results""",
+        ),
         # reports
         "significance_flags": _sql(
             results,

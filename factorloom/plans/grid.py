@@ -206,7 +206,7 @@ def _breaks(sv: DataFrame, axes: GridAxes) -> tuple[DataFrame, DataFrame]:
 
 
 def _with_cells(
-    sv: DataFrame, size: DataFrame, bm: DataFrame, axes: GridAxes
+    sv: DataFrame, size: DataFrame, bm: DataFrame, axes: GridAxes, carry: Sequence[str]
 ) -> tuple[DataFrame, list[str]]:
     """Add the cell of each stock: its place among all size and all other breaks."""
 
@@ -237,6 +237,7 @@ def _with_cells(
         "me_cell",
         "bm_cell",
         *[_kept(e).alias(name) for e, name in zip(axes.exclusions, kept)],
+        *carry,
     )
     return cells, ["sorting_date", "me_cell", "bm_cell", *kept]
 
@@ -264,19 +265,26 @@ def _portfolios_of_cells(
 ASSIGNMENT = ["population", "n_portfolios", "dependent"]
 
 
-def grid_series(sv: DataFrame, returns: DataFrame, axes: GridAxes) -> DataFrame:
-    """Monthly value premium of every assignment and weighting over all dates.
+def grid_cells(
+    sv: DataFrame, axes: GridAxes, carry: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Stocks with their cell, the portfolio of each cell in every assignment, and the cell's columns.
 
-    ``sv`` should be a written table: the breaks and the cells read it again.
+    ``sv`` should be a written table: the breaks and the cells read it again.  The stocks keep the
+    columns named by ``carry``.
     """
     sv = sv.withColumns({"me": clean_double(F.col("me")), "bm": clean_double(F.col("bm"))})
-    size, bm = _breaks(sv, axes)
-    stocks, cell = _with_cells(sv, size, bm, axes)
+    size, bm = _breaks(sv.drop(*carry), axes)
+    stocks, cell = _with_cells(sv, size, bm, axes, carry)
     # all stocks of a cell share every portfolio, so any one of them stands for it, and the
     # assignments are evaluated once for all months of the cell
     whole = stocks.groupBy(*cell).agg(F.min("me").alias("me"), F.min("bm").alias("bm"))
     assigned = _portfolios_of_cells(whole, size, bm, axes).select(*cell, *ASSIGNMENT, "portfolio")
-    sums = cell_sums(stocks, returns, cell)
+    return stocks, assigned, cell
+
+
+def series_of_cells(sums: DataFrame, assigned: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """Monthly value premium of every assignment and weighting, from sums per date and cell or finer."""
     rets = returns_from_sums(
         join_on(sums, assigned, cell).select(*ASSIGNMENT, "sorting_date", "date", "portfolio", *SUMS),
         [*ASSIGNMENT, "sorting_date", "date", "portfolio"],
@@ -285,6 +293,12 @@ def grid_series(sv: DataFrame, returns: DataFrame, axes: GridAxes) -> DataFrame:
     return high_minus_low(stack_weightings(rets), by=keys)
 
 
+def grid_series(sv: DataFrame, returns: DataFrame, axes: GridAxes) -> DataFrame:
+    """Monthly value premium of every assignment and weighting over all dates."""
+    stocks, assigned, cell = grid_cells(sv, axes)
+    return series_of_cells(cell_sums(stocks, returns, cell), assigned, cell)
+
+
 def spec_series(specs: DataFrame, series: DataFrame) -> DataFrame:
     """The months of each specification: ``spec_id, date, value_premium``."""
     keys = [*ASSIGNMENT, "weighting"]
@@ -325,11 +339,10 @@ def spec_coverage(sv: DataFrame, axes: GridAxes) -> DataFrame:
     )
 
 
-def run_grid(
-    sv: DataFrame,
-    returns: DataFrame,
+def grid_tests(
+    series: DataFrame,
     factors: DataFrame,
-    axes: GridAxes | None = None,
+    axes: GridAxes,
     lag: int = 3,
     small_sample: str = "n/(n-k)",
 ) -> DataFrame:
@@ -337,12 +350,9 @@ def run_grid(
 
     Every specification of the grid is returned; its estimates are null when no
     month could be computed.  ``_order`` gives the order of the report within
-    a ``spec_id``.
+    a ``spec_id``.  ``series`` should be a written table: both tests read it.
     """
-    axes = axes or GridAxes()
-    specs = spec_grid(sv.sparkSession, axes)
-    # two tests read the series; it has one row per assignment, weighting and month
-    series = stage(grid_series(sv, returns, axes), "grid-series")
+    specs = spec_grid(series.sparkSession, axes)
     months = spec_series(specs, series)
     options = {"by": ["spec_id"], "lag": lag, "small_sample": small_sample}
     mean_test = newey_west_mean(months, **options).withColumn("test", F.lit(TESTS[0]))
@@ -359,6 +369,21 @@ def run_grid(
     )
 
 
+def run_grid(
+    sv: DataFrame,
+    returns: DataFrame,
+    factors: DataFrame,
+    axes: GridAxes | None = None,
+    lag: int = 3,
+    small_sample: str = "n/(n-k)",
+) -> DataFrame:
+    """The rows of :func:`grid_tests` from sorting variables and returns."""
+    axes = axes or GridAxes()
+    # one row per assignment, weighting and month
+    series = stage(grid_series(sv, returns, axes), "grid-series")
+    return grid_tests(series, factors, axes, lag, small_sample)
+
+
 def value_premium(
     sv: DataFrame,
     returns: DataFrame,

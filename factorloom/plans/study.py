@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.returns import cell_sums
 from ..operators.timing import (
     book_to_market,
     december_equity,
@@ -25,8 +26,8 @@ from ..sources import (
     write_table,
 )
 from ..workspace import stage
-from .comparison import compare_designs, design_premiums
-from .grid import GridAxes, run_grid
+from .comparison import DESIGN_CELL, compare_designs, design_cells, design_premiums, premiums_of_cells
+from .grid import GridAxes, grid_cells, grid_tests, run_grid, series_of_cells
 from .report import estimate_histogram, grid_summary, reference_lines
 
 
@@ -65,6 +66,27 @@ class Study:
     def grid(self, axes: GridAxes | None = None, **options) -> DataFrame:
         return run_grid(self.sorting_variables, self.returns, self.factors, axes, **options)
 
+    def cell_sums(self, axes: GridAxes) -> tuple[DataFrame, DataFrame, list[str]]:
+        """Sums of the returns that serve the comparison and the grid, the portfolios of the grid's
+        cells, and the columns of such a cell.
+
+        The grid's bins are [a, b) and those of the designs (a, b], so a cell of both is a cell of the
+        grid together with the design's portfolios.
+        """
+        stocks, assigned, cell = grid_cells(design_cells(self.sorting_variables), axes, DESIGN_CELL)
+        return cell_sums(stocks, self.returns, [*cell, *DESIGN_CELL]), assigned, cell
+
+    def comparison_and_grid(
+        self, axes: GridAxes | None = None, **options
+    ) -> tuple[DataFrame, DataFrame]:
+        """Both results from one join with the returns, whose sums are written once."""
+        axes = axes or GridAxes()
+        sums, assigned, cell = self.cell_sums(axes)
+        sums = stage(sums, "cell-sums")
+        self.premiums = stage(premiums_of_cells(sums), "premiums")
+        series = stage(series_of_cells(sums, assigned, cell), "grid-series")
+        return self.comparison(), grid_tests(series, self.factors, axes, **options)
+
 
 def run_study(
     spark: SparkSession,
@@ -88,8 +110,9 @@ def run_study(
         load_factors(spark, clean, first_year=first_year, last_year=last_year),
     )
     tables = f"{out_dir}/tables"
-    write_report(study.comparison(), f"{tables}/value_premium_comparison", ("_order",))
-    grid = stage(study.grid(axes), "grid-results")
+    comparison, grid = study.comparison_and_grid(axes)
+    write_report(comparison, f"{tables}/value_premium_comparison", ("_order",))
+    grid = stage(grid, "grid-results")
     write_report(grid, f"{tables}/grid_results", ("spec_id", "_order"))
     bins = estimate_histogram(grid)
     write_report(bins, f"{tables}/estimate_histogram", ("test", "bin", "is_significant"))

@@ -9,8 +9,6 @@ from pyspark.sql import types as T
 from ..functions import clean_double, month_start
 from ..workspace import stage
 
-REPORT_ROWS = 100_000
-
 STOCK_PANEL = T.StructType(
     [
         T.StructField("permno", T.LongType()),
@@ -126,17 +124,10 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
 
 
 def write_report(df: DataFrame, path: str, order_by: tuple[str, ...]) -> None:
-    """One CSV file with a header, in order.  For result tables of at most ``REPORT_ROWS`` rows;
-    more are an error."""
-    df = stage(df, "report")
-    if (n := df.count()) > REPORT_ROWS:
-        raise ValueError(f"a report holds at most {REPORT_ROWS} rows, not {n}; use write_table")
+    """CSV files with a header, in order: rows inside a file, and files by their names.
+
+    Small reports are one file; large ones are sorted in ranges by several tasks.  Columns that begin
+    with an underscore only give the order.
+    """
     columns = [c for c in df.columns if not c.startswith("_")]
-    (
-        df.repartition(1)
-        .sortWithinPartitions(*order_by)
-        .select(*columns)
-        .write.mode("overwrite")
-        .option("header", True)
-        .csv(path)
-    )
+    df.orderBy(*order_by).select(*columns).write.mode("overwrite").option("header", True).csv(path)

@@ -1,12 +1,18 @@
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
+import io
 import math
 import random
+import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factorloom import operators as ops
+from factorloom.operators import inference
 
 from .helpers import month, ols_newey_west
 
@@ -71,6 +77,58 @@ def test_one_series_without_key(spark):
     assert math.isclose(got[0].t_stat, t, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("lag", [0, 1, 3, 6])
+def test_lags_reach_over_blocks(spark, monkeypatch, lag):
+    """Blocks of few rows, some with fewer than ``lag``, give what the whole series gives."""
+    monkeypatch.setattr(inference, "BLOCK_ROWS", 4)
+    rows = [r for i, r in enumerate(series(9)) if i % 7 not in (2, 3, 4) or i % 2]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    means = {r.series: r for r in ops.newey_west_mean(df, by=["series"], lag=lag).collect()}
+    alphas = {r.series: r for r in ops.capm_alpha(df, by=["series"], lag=lag).collect()}
+    for s in range(3):
+        kept = [r for r in rows if r[0] == s]
+        y, x = [r[2] for r in kept], [r[3] for r in kept]
+        for got, (estimate, t) in (
+            (means[s], ols_newey_west(y, lag=lag)),
+            (alphas[s], ols_newey_west(y, x, lag)),
+        ):
+            assert math.isclose(got.estimate, estimate, rel_tol=1e-10)
+            assert math.isclose(got.t_stat, t, rel_tol=1e-9)
+            assert got.n_obs == len(kept)
+
+
+def test_a_long_series_is_spread_over_tasks(spark):
+    n = 1_000_000
+    t = F.col("id").cast("double")
+    df = spark.range(n).select(
+        "id", (F.sin(t / 50) + F.cos(t * t)).alias("y"), F.sin(t / 3).alias("x")
+    )
+    ids = np.arange(n, dtype=float)
+    y, x = np.sin(ids / 50) + np.cos(ids * ids), np.sin(ids / 3)
+    for found, expected in (
+        (ops.newey_west_mean(df, "y", order="id"), ols_newey_west(y)),
+        (ops.capm_alpha(df, "y", "x", order="id"), ols_newey_west(y, x)),
+    ):
+        (got,) = found.collect()
+        assert got.n_obs == n
+        assert math.isclose(got.estimate, expected[0], rel_tol=1e-6)
+        assert math.isclose(got.t_stat, expected[1], rel_tol=1e-6)
+        printed = io.StringIO()
+        with contextlib.redirect_stdout(printed):
+            found.explain("formatted")
+        assert re.search(r"hashpartitioning\(_block", printed.getvalue())
+
+
+def test_other_orders_and_no_rows(spark):
+    df = spark.createDataFrame([(f"{i:03}", math.sin(i)) for i in range(40)], "name string, y double")
+    (got,) = ops.newey_west_mean(df, "y", order="name").collect()
+    estimate, t = ols_newey_west([math.sin(i) for i in range(40)])
+    assert math.isclose(got.estimate, estimate, rel_tol=1e-10)
+    assert math.isclose(got.t_stat, t, rel_tol=1e-9)
+    (none,) = ops.newey_west_mean(df.filter("y > 2"), "y", order="name").collect()
+    assert (none.estimate, none.t_stat, none.n_obs) == (None, None, 0)
+
+
 def test_short_or_constant_series(spark):
     rows = [(0, month(1990, 1), 0.5, 0.5)] + [(1, month(1990, m), 0.0, 0.5) for m in range(1, 9)]
     df = spark.createDataFrame(rows, SCHEMA)

@@ -13,6 +13,7 @@ import __spark_entry__ as entry_points
 from checks import catalog
 from checks.catalog import study
 from factorloom import operators as ops
+from factorloom import plans
 from factorloom.sources import by_calendar_month, load_stock_panel, write_table
 from factorloom.sources.order_tables import supplier_months
 from factorloom.workspace import scratch_path, stage, workspace_dir
@@ -88,6 +89,17 @@ def test_stock_returns_move_once(spark):
     assert plan_of(cells).count("partial_sum(") >= 3
 
 
+@needs_tables
+def test_comparison_and_grid_read_the_returns_once(spark):
+    s = study(spark, SF_DIR)
+    axes = plans.GridAxes(n_portfolios=(2,), samples=(plans.Sample("full"),))
+    sums, _, _ = s.cell_sums(axes)
+    assert len(re.findall(r"ReadSchema: [^\n]*ret_excess", plan_of(sums))) == 1
+    # what follows reads the written sums only
+    for found in s.comparison_and_grid(axes):
+        assert "ret_excess" not in plan_of(found)
+
+
 def test_scratch_tables_lie_in_the_checkpoint_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from factorloom import operators as ops
 from factorloom.plans import Study
@@ -151,6 +152,32 @@ def test_report_is_one_ordered_file_with_full_precision(spark, tmp_path):
     assert [float(x) for x in lines[1:]] == [v for _, v in rows]
 
 
+def test_a_large_report_is_ordered_over_its_files(spark, tmp_path):
+    df = spark.range(200_000).select(
+        F.xxhash64("id").alias("_order"), F.xxhash64("id").alias("value"), F.repeat(F.lit("x"), 40).alias("pad")
+    )
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        write_report(df, str(tmp_path / "r"), ("_order",))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    files = sorted((tmp_path / "r").glob("*.csv"))
+    assert len(files) > 1
+    values = []
+    for file in files:
+        header, *lines = file.read_text().splitlines()
+        assert header == "value,pad"
+        values += [int(line.split(",")[0]) for line in lines]
+    assert len(values) == 200_000 and values == sorted(values)
+
+
+def test_an_empty_report_has_a_header(spark, tmp_path):
+    df = spark.createDataFrame([], "_order int, value double")
+    write_report(df, str(tmp_path / "r"), ("_order",))
+    assert [f.read_text() for f in (tmp_path / "r").glob("*.csv")] == ["value\n"]
+
+
 def test_study_builds_the_sorting_variables(spark):
     panel = spark.createDataFrame(
         [stock(p, D(2019, 12, 1), 10.0 * p) for p in (1, 2)]
