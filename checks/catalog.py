@@ -17,6 +17,8 @@ from factorloom.operators.portfolios import LISTED
 from factorloom.sources.order_tables import FIRST_YEAR, LAST_YEAR, market_tables, source_signature
 from factorloom.workspace import scratch_path, stage
 
+from .edges import planted_fundamentals, planted_panel
+
 AXES = plans.GridAxes(samples=plans.default_samples(dt.date(1999, 7, 1)))
 
 _studies: dict[tuple, "_Study"] = {}
@@ -38,6 +40,11 @@ class _Study(plans.Study):
     def shared_comparison(self) -> DataFrame:
         return self._both[0]
 
+    @cached_property
+    def edges(self) -> "_Study":
+        """The study of the same folder with awkward rows planted in its tables."""
+        return _Study(planted_panel(self.panel), planted_fundamentals(self.fundamentals), self.factors)
+
 
 def _still_written(known: _Study) -> bool:
     folder = known.panel.inputFiles()[0].rsplit("/cal_month=", 1)[0]
@@ -299,6 +306,79 @@ def shared_grid(s: _Study) -> DataFrame:
     return _rounded(s.results.drop("_order"), **TEST_DIGITS)
 
 
+def grid_from_split(s: _Study) -> DataFrame:
+    """The grid of the later sample alone, over cross-sections kept by sort date."""
+    spark = s.panel.sparkSession
+    path = scratch_path(spark, "sorting-table")
+    sources.write_sorting_table(s.sorting_variables, path)
+    axes = plans.GridAxes(samples=AXES.samples[-1:])
+    kept = sources.load_sorting_table(spark, path)
+    return _rounded(plans.grid_series(kept, s.returns, axes), value_premium=10)
+
+
+# cross-sections kept by sort date, and in buckets
+
+
+def sorting_table_rebuild(s: _Study) -> DataFrame:
+    """Cross-sections kept with doubled ratios, of which two years are built again."""
+    path = scratch_path(s.panel.sparkSession, "sorting-table")
+    doubled = s.sorting_variables.withColumn("bm", F.col("bm") * 2)
+    sources.write_sorting_table(doubled, path)
+    kept = plans.Study(s.panel, s.fundamentals, s.factors)
+    kept.write_sorting_table(path, years=[1998, 2000])
+    return _rounded(kept.sorting_variables, me=4, bm=10)
+
+
+def bucketed_double_sort(s: _Study) -> DataFrame:
+    """The returns of the independent sort from tables in buckets of stock and sort date."""
+    bucketed = plans.Study(s.panel, s.fundamentals, s.factors, buckets=8)
+    return vw_double_sort(bucketed)
+
+
+# the sorts over planted edge rows
+
+
+def edge_sorting_variables(s: _Study) -> DataFrame:
+    return sorting_variables(s.edges)
+
+
+def edge_qcut_independent(s: _Study) -> DataFrame:
+    return qcut_independent(s.edges)
+
+
+def edge_qcut_dependent(s: _Study) -> DataFrame:
+    return qcut_dependent(s.edges)
+
+
+def edge_sort_univariate(s: _Study) -> DataFrame:
+    return sort_univariate(s.edges)
+
+
+def edge_sort_conditional(s: _Study) -> DataFrame:
+    sorted_ = ops.conditional_sort(s.edges.sorting_variables, 5, ["NYSE"], pool=False)
+    return sorted_.select("permno", "sorting_date", "portfolio_me", "portfolio")
+
+
+def edge_unassigned_counts(s: _Study) -> DataFrame:
+    return unassigned_counts(s.edges)
+
+
+def edge_vw_double_sort(s: _Study) -> DataFrame:
+    return vw_double_sort(s.edges)
+
+
+def edge_returns_vw_ew(s: _Study) -> DataFrame:
+    return returns_vw_ew(s.edges)
+
+
+def edge_shared_comparison(s: _Study) -> DataFrame:
+    return shared_comparison(s.edges)
+
+
+def edge_shared_grid(s: _Study) -> DataFrame:
+    return shared_grid(s.edges)
+
+
 # reports
 
 
@@ -360,6 +440,19 @@ QUERIES: list[Callable[[_Study], DataFrame]] = [
     grid_results,
     shared_comparison,
     shared_grid,
+    grid_from_split,
+    sorting_table_rebuild,
+    bucketed_double_sort,
+    edge_sorting_variables,
+    edge_qcut_independent,
+    edge_qcut_dependent,
+    edge_sort_univariate,
+    edge_sort_conditional,
+    edge_unassigned_counts,
+    edge_vw_double_sort,
+    edge_returns_vw_ew,
+    edge_shared_comparison,
+    edge_shared_grid,
     significance_flags,
     estimate_histogram,
     reference_lines,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .edges import planted_sql
+
 SPLIT = "DATE '1999-07-01'"
 
 
@@ -269,7 +271,32 @@ def _sql(parts: list[str], select: str) -> str:
     return "WITH " + ",".join(parts) + "\n" + select
 
 
+def _edge_sql(known: dict[str, str]) -> dict[str, str]:
+    """The SQL of the sorts over planted rows: the same queries, other common tables."""
+    edges = planted_sql(BASE)
+    same = [
+        "sorting_variables",
+        "qcut_independent",
+        "qcut_dependent",
+        "sort_univariate",
+        "unassigned_counts",
+        "vw_double_sort",
+        "returns_vw_ew",
+        "shared_comparison",
+        "shared_grid",
+    ]
+    found = {f"edge_{name}": known[name].replace(BASE, edges) for name in same}
+    conditional = known["sort_conditional"].replace(BASE, edges)
+    nyse = conditional.replace("population = 'ALL'", "population = 'NYSE'")
+    return found | {"edge_sort_conditional": nyse}
+
+
 def oracle_sql() -> dict[str, str]:
+    known = _study_sql()
+    return known | _edge_sql(known)
+
+
+def _study_sql() -> dict[str, str]:
     base, double, grid = [BASE], [BASE, DOUBLE], [BASE, GRID]
     results = [BASE, GRID, SPECS, RESULTS]
     panel = """SELECT permno, gvkey, date, exchange, industry, round(mktcap, 4) + 0.0 AS mktcap,
@@ -468,6 +495,23 @@ def oracle_sql() -> dict[str, str]:
                       round(estimate, 10) + 0.0 AS estimate, round(t_stat, 8) + 0.0 AS t_stat, n_obs
                FROM grid_results""",
         ),
+        "grid_from_split": _sql(
+            grid,
+            f"""SELECT population, n_portfolios, dependent, weighting, sorting_date, date,
+                       round(value_premium, 10) + 0.0 AS value_premium, n_portfolios_present
+                FROM series WHERE sorting_date >= {SPLIT} AND population IN ('NYSE', 'ALL')""",
+        ),
+        "sorting_table_rebuild": _sql(
+            base,
+            """SELECT permno, exchange, industry, sorting_date, round(me, 4) + 0.0 AS me,
+               round(CASE WHEN year(sorting_date) IN (1998, 2000) THEN bm ELSE bm * 2 END, 10) + 0.0
+                 AS bm FROM sv""",
+        ),
+        "bucketed_double_sort": _sql(
+            double,
+            """SELECT date, portfolio_bm, portfolio_me, round(ret, 10) + 0.0 AS ret
+               FROM vw WHERE design = 'Independent'""",
+        ),
         # reports
         "significance_flags": _sql(
             results,

@@ -57,6 +57,19 @@ class Sample:
 Exclusion = tuple[str | None, str | None] | None
 
 
+def in_samples(sv: DataFrame, axes: GridAxes) -> DataFrame:
+    """The sort dates from the earliest start to the latest end of the samples.
+
+    A range on ``sorting_date``: a table kept by sort date reads the folders inside it only.
+    """
+    starts, ends = [s.start for s in axes.samples], [s.end for s in axes.samples]
+    if starts and None not in starts:
+        sv = sv.filter(F.col("sorting_date") >= F.lit(min(starts)))
+    if ends and None not in ends:
+        sv = sv.filter(F.col("sorting_date") < F.lit(max(ends)))
+    return sv
+
+
 def _suffix(exclusion: Exclusion) -> str:
     industry, keep = exclusion or (None, None)
     return (f" without {industry}" if industry else "") + (f" where {keep}" if keep else "")
@@ -294,8 +307,8 @@ def series_of_cells(sums: DataFrame, assigned: DataFrame, cell: Sequence[str]) -
 
 
 def grid_series(sv: DataFrame, returns: DataFrame, axes: GridAxes) -> DataFrame:
-    """Monthly value premium of every assignment and weighting over all dates."""
-    stocks, assigned, cell = grid_cells(sv, axes)
+    """Monthly value premium of every assignment and weighting over all dates of the samples."""
+    stocks, assigned, cell = grid_cells(in_samples(sv, axes), axes)
     return series_of_cells(cell_sums(stocks, returns, cell), assigned, cell)
 
 
@@ -320,7 +333,8 @@ def spec_coverage(sv: DataFrame, axes: GridAxes) -> DataFrame:
         for u, e in axes.populations
     ]
     per_date = (
-        sv.select("sorting_date", F.inline(F.array(*populations)))
+        in_samples(sv, axes)
+        .select("sorting_date", F.inline(F.array(*populations)))
         .filter("_kept")
         .groupBy("population", "sorting_date")
         .agg(F.count("*").alias("_stocks"), F.count_if("_member").alias("_members"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.returns import cell_sums
 from ..operators.timing import (
@@ -14,6 +17,7 @@ from ..operators.timing import (
     latest_fundamentals,
     return_periods,
     sorting_variables,
+    with_sort_date,
 )
 from ..sources import (
     by_calendar_month,
@@ -22,10 +26,12 @@ from ..sources import (
     load_stock_panel,
     read_factors,
     tidy_factors,
+    load_sorting_table,
     write_report,
+    write_sorting_table,
     write_table,
 )
-from ..workspace import stage
+from ..workspace import stage, stage_bucketed
 from .comparison import DESIGN_CELL, compare_designs, design_cells, design_premiums, premiums_of_cells
 from .grid import GridAxes, grid_cells, grid_tests, run_grid, series_of_cells
 from .report import estimate_histogram, grid_summary, reference_lines
@@ -36,24 +42,67 @@ class Study:
 
     The sorting variables are written once on first use: one row per stock and
     year, read by every set of breaks and by every join with returns.
+
+    With ``buckets``, the returns and the sorting variables are written in so many hash buckets of
+    stock and sort date, on which they meet: the panel moves once, however many sorts follow.  A key
+    holds a year of one stock at most, so no bucket is hot.  Worth it where the sorting variables are
+    too large to be broadcast.
     """
 
-    def __init__(self, panel: DataFrame, fundamentals: DataFrame, factors: DataFrame):
+    def __init__(
+        self,
+        panel: DataFrame,
+        fundamentals: DataFrame,
+        factors: DataFrame,
+        buckets: int | None = None,
+    ):
         self.panel = panel
         self.fundamentals = fundamentals
         self.factors = factors
+        self.buckets = buckets
+
+    def build_sorting_variables(self, years: Sequence[int] | None = None) -> DataFrame:
+        """The cross-sections of all sort dates, or those of July of the given years.
 
-    def build_sorting_variables(self) -> DataFrame:
-        bm = book_to_market(latest_fundamentals(self.fundamentals), december_equity(self.panel))
-        return sorting_variables(june_size(self.panel), bm)
+        A year needs its June, the December before and the fiscal year-ends of the calendar year
+        before, and nothing else of the inputs is kept.
+        """
+        panel, fundamentals = self.panel, self.fundamentals
+        if years is not None:
+            months = [d for y in years for d in (dt.date(y - 1, 12, 1), dt.date(y, 6, 1))]
+            panel = panel.filter(F.col("date").isin(months))
+            dates = [dt.date(y, 7, 1) for y in years]
+            fundamentals = with_sort_date(fundamentals).filter(F.col("sorting_date").isin(dates))
+        bm = book_to_market(latest_fundamentals(fundamentals), december_equity(panel))
+        return sorting_variables(june_size(panel), bm)
+
+    def write_sorting_table(self, path: str, years: Sequence[int] | None = None) -> None:
+        """Keep the sorting variables by sort date below ``path``, and use them from there.
+
+        Given years are built again and replace what is kept of them; the other dates stay.
+        """
+        dates = [dt.date(y, 7, 1) for y in years or ()]
+        write_sorting_table(self.build_sorting_variables(years), path, dates)
+        self.use_sorting_table(path)
+
+    def use_sorting_table(self, path: str) -> None:
+        """Read the sorting variables from a table that :meth:`write_sorting_table` has written."""
+        self.sorting_variables = load_sorting_table(self.panel.sparkSession, path)
+        self.__dict__.pop("premiums", None)
+
+    def _kept(self, df: DataFrame, label: str) -> DataFrame:
+        if self.buckets:
+            return stage_bucketed(df, label, ["permno", "sorting_date"], self.buckets)
+        return stage(df, label)
 
     @cached_property
     def sorting_variables(self) -> DataFrame:
-        return stage(self.build_sorting_variables(), "sorting-variables")
+        return self._kept(self.build_sorting_variables(), "sorting-variables")
 
-    @property
+    @cached_property
     def returns(self) -> DataFrame:
-        return return_periods(self.panel)
+        periods = return_periods(self.panel)
+        return self._kept(periods, "return-periods") if self.buckets else periods
 
     @cached_property
     def premiums(self) -> DataFrame:

@@ -1,6 +1,7 @@
 """Readers, writers and the panel derived from order tables."""
 
 from .order_tables import MarketTables, market_tables
+from .sorting_table import SORTING_VARIABLES, load_sorting_table, write_sorting_table
 from .tables import (
     FACTORS,
     FUNDAMENTALS,
@@ -19,16 +20,19 @@ from .tables import (
 __all__ = [
     "FACTORS",
     "FUNDAMENTALS",
+    "SORTING_VARIABLES",
     "STOCK_PANEL",
     "MarketTables",
     "by_calendar_month",
     "conform",
     "load_factors",
     "load_fundamentals",
+    "load_sorting_table",
     "load_stock_panel",
     "market_tables",
     "read_factors",
     "tidy_factors",
     "write_report",
+    "write_sorting_table",
     "write_table",
 ]

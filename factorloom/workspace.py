@@ -11,7 +11,7 @@ below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,3 +60,24 @@ def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Data
     with _shuffles_removed(spark):
         df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_bucketed(df: DataFrame, label: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Write ``df`` to the shared folder in ``buckets`` hash buckets of ``keys``, one file each.
+
+    Joins and aggregates on exactly these keys then read the table without a shuffle; other uses read
+    it like any other.  The buckets are known to the session's catalog, under a name of its own.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    with _shuffles_removed(spark):
+        # the same hash deals rows to tasks and to buckets, so a task writes one file
+        (
+            df.repartition(buckets, *keys)
+            .write.bucketBy(buckets, *keys)
+            .sortBy(*keys)
+            .option("path", path)
+            .saveAsTable(name)
+        )
+    return spark.table(name)
