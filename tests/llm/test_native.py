@@ -50,6 +50,49 @@ def test_phrases_and_templates(documents):
     assert (by_id[6]["n_words"], by_id[6]["n_base"], by_id[6]["first_word"]) == (0, 0, None)
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("licensed under the GNU General Public License, version 3", "gpl,gpl-3.0"),
+        ("licensed under the GNU General Public License, version 2", "gpl,gpl-2.0"),
+        # no version, or another one: the phrase alone
+        ("licensed under the GNU General Public License", "gpl"),
+        ("licensed under the GNU General Public License version 4", "gpl"),
+        ("licensed under the GNU Lesser General Public License version 2", "gpl,lgpl"),
+        # pairs of a template strung out over more diagonals than one span may have
+        ("released under under under the the the mit mit mit license", ""),
+        ("under the released under the mit license under the", "mit"),
+        ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"),
+        ("SPDX-License-Identifier: GPL-3.0-only", "gpl-3.0"),
+        ("see https://opensource.org/licenses/MIT and", "mit"),
+        ("https://creativecommons.org/licenses/by-sa/4.0/", "cc-by-sa"),
+        ("https://creativecommons.org/licenses/by/4.0/", "cc-by"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee", "isc"),
+    ],
+)
+def test_labels_of_one_licence(documents, text, labels):
+    assert scanned(documents([(1, text)])).first()["labels"] == labels
+
+
+def test_licence_sql_agrees(documents):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(11)
+    vocabulary = [w for t in license_scan.TEMPLATES for w in t.split()]
+    texts = []
+    for _ in range(80):
+        w = rng.choice(list(license_scan.TEMPLATES)).split() + rng.choices(vocabulary, k=6)
+        w += rng.choice(list(license_scan.TEMPLATES)).split()
+        for _ in range(rng.randrange(4)):
+            w.insert(rng.randrange(len(w)), rng.choice(vocabulary))
+        texts.append(" ".join(w))
+    df = documents(list(enumerate(texts)) + [(0, texts[3]), (None, texts[4]), (None, None)])
+    connection = duckdb.connect()
+    connection.register("documents", df.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
+    result = connection.sql(license_scan.SQL)
+    got = Counter(tuple(r) for r in scanned(df).select(*result.columns).collect())
+    assert got == Counter(result.fetchall())
+
+
 def test_phrases_against_brute_force(documents):
     rng = random.Random(5)
     vocabulary = "cc by general public license all rights reserved x".split()
