@@ -7,7 +7,8 @@ or hexadecimal run is decoded, and reported only if its bytes have the structure
 - ``openssh``: the magic of an OpenSSH private key and nested length-prefixed fields,
 - ``jwt``: a signed token, three parts whose first is a JSON object with an algorithm.
 
-A run may be broken over lines, as in a PEM block.  A key ends where its outer length says, if that
+A run may be broken over lines, as in a PEM block, with blanks around the line ends or with line ends
+written as in a JSON string; base64 may have the alphabet of addresses.  A key ends where its outer length says, if that
 is the end of a line; words of later lines do not belong to it.  Offsets are code points, ends exclusive.  Null
 text: no secrets.  Repeated rows each get their own result; an empty table gives none.  Other columns
 are kept, whatever their names.
@@ -35,15 +36,33 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_HEX_BYTES = re.compile(r"(?<![0-9A-Za-z+/])(?:[0-9a-f]{2}){32,}(?![0-9A-Za-z+/=])|(?<![0-9A-Za-z+/])(?:[0-9A-F]{2}){32,}(?![0-9A-Za-z+/=])")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
-_SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+# a run goes on in the next line, which may be indented, or follow a line end written as in a JSON string
+_FOLD = r"[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*"
+_BREAK = re.compile(_FOLD)
+_HEX_BYTES = re.compile(
+    "|".join(
+        rf"(?<![0-9A-Za-z+/])(?:{digit}{{2}}){{16,}}(?:{_FOLD}(?:{digit}{{2}})+)*(?![0-9A-Za-z+/=])"
+        for digit in ("[0-9a-f]", "[0-9A-F]")
+    )
+)
+# the letter of an escape sequence in front is no part of the run
+_BASE64 = re.compile(
+    r"(?:(?<=\\[nrt])|(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nrt]))"
+    rf"[A-Za-z0-9+/]{{40,}}(?:{_FOLD}[A-Za-z0-9+/]+)*={{0,2}}"
+)
+_BASE64_URL = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{40,}={0,2}")
+# fixed values: how "{" and a quote, blank, tab or line end begin in base64
+_HEADERS = ("eyJ", "eyA", "ewk", "ewo", "ew0")
+_SIGNED = re.compile(
+    rf"(?<![A-Za-z0-9_-])((?:{'|'.join(_HEADERS)})[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)"
+)
 
+_TO_PLAIN = str.maketrans("-_", "+/")
 _OPENSSH = b"openssh-key-v1\0"
 
 
 def _decoded(run: str) -> bytes | None:
-    compact = "".join(run.split())
+    compact = _BREAK.sub("", run)
     try:
         return base64.b64decode(compact + "=" * (-len(compact) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -81,23 +100,32 @@ def is_private_key(data: bytes) -> bool:
     return tags[1:] == [0x02] * 8 or tags[1:2] == [0x04] or tags[1:3] == [0x30, 0x04]
 
 
-def without_next_lines(run: str) -> str:
-    """A base64 run of several lines, up to the line end at which the outer ASN.1 length ends, if any."""
-    if "\n" not in run:
-        return run
-    head = base64.b64decode(run[:8])
+def outer_size(head: bytes) -> int | None:
+    """Bytes of an ASN.1 sequence with its tag and length, from its first six bytes."""
     n = head[1] & 0x7F if head[1] & 0x80 else 0
     if head[0] != 0x30 or n > 4:
+        return None
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+
+
+def without_next_lines(run: str, bits: int = 6) -> str:
+    """A run of several lines, up to the line end at which the outer ASN.1 length ends, if any.
+
+    A character stands for ``bits`` bits: six in base64, four in hexadecimal digits.
+    """
+    if not _BREAK.search(run):
+        return run
+    size = outer_size(base64.b64decode(run[:8]) if bits == 6 else bytes.fromhex(run[:12]))
+    if size is None:
         return run
-    size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
     # characters of the key without padding; line ends lie between them
-    left, upto = -(-size * 8 // 6), 0
-    for line in run.split("\n"):
-        here = len(line.rstrip("\r"))
+    left, upto = -(-size * 8 // bits), 0
+    for gap in [*_BREAK.finditer(run), None]:
+        here = (gap.start() if gap else len(run)) - upto
         if here >= left:
             return run[: upto + left] if here == left else run
         left -= here
-        upto += len(line) + 1
+        upto = gap.end() if gap else len(run)
     return run
 
 
@@ -133,14 +161,18 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
             (m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20
         ]
     found += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
-    runs = [(m.start(), m[0], bytes.fromhex(m[0])) for m in _HEX_BYTES.finditer(text)]
+    digits = ((m.start(), without_next_lines(m[0], 4)) for m in _HEX_BYTES.finditer(text))
+    runs = [(start, run, bytes.fromhex(_BREAK.sub("", run))) for start, run in digits]
     encoded = ((m.start(), without_next_lines(m[0])) for m in _BASE64.finditer(text))
     runs += [(start, run, data) for start, run in encoded if (data := _decoded(run))]
+    for m in _BASE64_URL.finditer(text):
+        if data := _decoded(m[0].translate(_TO_PLAIN)):
+            runs.append((m.start(), m[0], data))
     for start, run, data in runs:
         kind = "der" if is_private_key(data) else "openssh" if is_openssh_key(data) else None
         if kind:
             found.append((start, start + len(run), kind))
-    if "eyJ" in text:
+    if any(header in text for header in _HEADERS):
         found += [
             (m.start(), m.end(), "jwt") for m in _SIGNED.finditer(text) if is_signed_token(m[1])
         ]

@@ -75,6 +75,35 @@ def test_a_key_ends_before_a_line_of_prose(end, word):
             assert secret_scan.masked(text, "#") == f"#{end}{word} and more"
 
 
+def test_keys_as_they_leak():
+    lines = [base64.b64encode(KEY).decode()[i : i + 64] for i in range(0, 10_000, 64)]
+    lines = [x for x in lines if x]
+    head, foot = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    forms = {
+        "escaped": '{"key": "' + "\\n".join([head, *lines, foot]) + '\\n"}',
+        "escaped twice": '{"key": "' + "\\r\\n".join([head, *lines, foot]) + '"}',
+        "indented": "key: |\n" + "".join(f"    {x}\n" for x in [head, *lines, foot]),
+        "blanks": "".join(f"{x} \r\n" for x in [head, *lines, foot]),
+    }
+    for name, text in forms.items():
+        ((start, end, kind),) = secret_scan.find_secrets(text)
+        assert kind == "der", name
+        assert text[start:].startswith(lines[0]) and text[:end].endswith(lines[-1]), name
+    digits = "\n".join(KEY.hex().upper()[i : i + 64] for i in range(0, 2 * len(KEY), 64))
+    for after in ("", "\nFACE", "\nFACED\nAB"):
+        # the base pattern finds its own runs of digits in the lines
+        found = [x for x in secret_scan.find_secrets(digits + after) if x[2] != "hex"]
+        assert found == [(0, len(digits), "der")]
+    marked = KEY[:-30] + b"\xff\xfe\xfb" * 10
+    url = base64.urlsafe_b64encode(marked).decode().rstrip("=")
+    assert "_" in url or "-" in url
+    assert secret_scan.find_secrets(f"k {url} z") == [(2, 2 + len(url), "der")]
+    for header in ('{ "alg": "HS256"}', '{\n"alg": "HS256"}', '{\r\n "alg":"HS256"}', '{\t"alg":"HS256"}'):
+        token = base64.urlsafe_b64encode(header.encode()).decode().rstrip("=") + ".eyJhIjoxfQ.c2ln"
+        assert secret_scan.find_secrets(token) == [(0, len(token), "jwt")]
+    assert secret_scan.find_secrets("-" * 5000 + " " + "_" * 5000) == []
+
+
 def test_secret_columns(messy, empty):
     rows = secret_scan.digest(secret_scan.scan(messy, "found"), "found").collect()
     assert len(rows) == messy.count()
