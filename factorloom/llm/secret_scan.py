@@ -51,6 +51,8 @@ _BASE64 = re.compile(
     rf"[A-Za-z0-9+/]{{40,}}(?:{_FOLD}[A-Za-z0-9+/]+)*={{0,2}}"
 )
 _BASE64_URL = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{40,}={0,2}")
+# every run above holds as many such characters in a row
+_LONG = re.compile(r"[A-Za-z0-9+/_-]{32}")
 # fixed values: how "{" and a quote, blank, tab or line end begin in base64
 _HEADERS = ("eyJ", "eyA", "ewk", "ewo", "ew0")
 _SIGNED = re.compile(
@@ -151,6 +153,18 @@ def is_signed_token(header: str) -> bool:
     return isinstance(said, dict) and isinstance(said.get("alg"), str)
 
 
+def _encoded_runs(text: str) -> list[tuple[int, str, bytes]]:
+    """Start, characters and bytes of all runs that can be decoded."""
+    digits = ((m.start(), without_next_lines(m[0], 4)) for m in _HEX_BYTES.finditer(text))
+    runs = [(start, run, bytes.fromhex(_BREAK.sub("", run))) for start, run in digits]
+    encoded = ((m.start(), without_next_lines(m[0])) for m in _BASE64.finditer(text))
+    runs += [(start, run, data) for start, run in encoded if (data := _decoded(run))]
+    for m in _BASE64_URL.finditer(text):
+        if data := _decoded(m[0].translate(_TO_PLAIN)):
+            runs.append((m.start(), m[0], data))
+    return runs
+
+
 def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) of one text, in order."""
     if not text:
@@ -161,13 +175,7 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
             (m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20
         ]
     found += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
-    digits = ((m.start(), without_next_lines(m[0], 4)) for m in _HEX_BYTES.finditer(text))
-    runs = [(start, run, bytes.fromhex(_BREAK.sub("", run))) for start, run in digits]
-    encoded = ((m.start(), without_next_lines(m[0])) for m in _BASE64.finditer(text))
-    runs += [(start, run, data) for start, run in encoded if (data := _decoded(run))]
-    for m in _BASE64_URL.finditer(text):
-        if data := _decoded(m[0].translate(_TO_PLAIN)):
-            runs.append((m.start(), m[0], data))
+    runs = _encoded_runs(text) if _LONG.search(text) else []
     for start, run, data in runs:
         kind = "der" if is_private_key(data) else "openssh" if is_openssh_key(data) else None
         if kind:
