@@ -5,8 +5,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -315,6 +318,68 @@ def test_all_labelled_documents_are_counted(documents, spark, monkeypatch):
     assert model.ratios.of_word(b"xyzzyx") > 2 > -2 > model.ratios.of_word(b"plughs")
 
 
+def kneser_ney(rows, discount):
+    """Ratio of a word under two conditional models over lists of (toxic, text), without tables."""
+    ends = lambda w: [f"^{w}$"[max(0, i - 6) : i] for i in range(2, len(w) + 3)]
+    docs = {c: Counter(w for toxic, t in rows if toxic == c for w in set(t.split())) for c in (0, 1)}
+    own = {c: Counter() for c in docs}
+    for c in docs:
+        for w, n in docs[c].items():
+            own[c].update(dict.fromkeys(ends(w), n))
+    runs = {x[i:] for c in own for x in own[c] for i in range(len(x) - 1)}
+    follows = Counter(x[1:] for x in runs)
+
+    def lower(x):
+        if not x:
+            return 1 / sum(len(y) == 1 for y in follows)
+        same = [n for y, n in follows.items() if y[:-1] == x[:-1]]
+        if not same:
+            return lower(x[1:])
+        return (max(follows[x] - 0.75, 0) + 0.75 * len(same) * lower(x[1:])) / sum(same)
+
+    def likelihood(c, x):
+        same = {y: n for y, n in own[c].items() if y[:-1] == x[:-1]}
+        if not same:
+            return lower(x[1:])
+        lost = sum(min(n, discount) for n in same.values())
+        return (max(same.get(x, 0) - discount, 0) + lost * lower(x[1:])) / sum(same.values())
+
+    return lambda w: sum(math.log(likelihood(1, x) / likelihood(0, x)) for x in ends(w))
+
+
+@pytest.mark.parametrize("most,discount", [(4_000_000, 2.0), (100, 4.0)])
+def test_conditional_models_against_brute_force(spark, monkeypatch, most, discount):
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", most)
+    monkeypatch.setattr(toxicity, "MIN_RATIO", 0.0)
+    monkeypatch.setattr(toxicity, "BLOCK_CHARS", 5)
+    rng = random.Random(3)
+    parts = ["ba", "bo", "kü", "te", "nat"]
+    vocabulary = ["".join(rng.choices(parts, k=rng.randrange(1, 5))) for _ in range(25)]
+    rows = [(int(i % 3 == 0), " ".join(rng.choices(vocabulary[i % 3 :], k=8))) for i in range(40)]
+    ratios = toxicity.learn_ratios(spark.createDataFrame(rows, "toxic int, text string"))
+    want = kneser_ney(rows, discount)
+    # all counts above the discount are in the tables: rare expressions, and ratios near one too
+    asked = sorted({*vocabulary, "batebaba", "kübo", "natenatk", "b", "t"})
+    got = ratios.of_words([w.encode() for w in asked])
+    assert got == pytest.approx([want(w) for w in asked], abs=1e-4)
+    assert np.count_nonzero(np.abs(got) < 2.0) > 5 < np.count_nonzero(got)
+
+
+def test_every_word_of_a_text_is_evidence(spark, monkeypatch):
+    rows = [(1, "bad common mild")] * 30 + [(1, "common")] * 20 + [(0, "good common")] * 40 + [(0, "mild")] * 10
+    ratios = toxicity.learn_ratios(spark.createDataFrame(rows, "toxic int, text string"))
+    # at most 7.4 times likelier in toxic text
+    assert toxicity.MIN_RATIO < ratios.of_word(b"mild") < 2
+    ratio = {w: ratios.of_word(w.encode()) for w in ("bad", "common", "mild", "good", "b" * 300)}
+    evidence = {w: math.log(1 - toxicity.MIXTURE + toxicity.MIXTURE * math.exp(r)) for w, r in ratio.items()}
+    texts = ["bad mild mild good", "good", None, "", "common " + "b" * 300]
+    monkeypatch.setattr(toxicity, "CHUNK_CHARS", 6)
+    monkeypatch.setattr(toxicity, "CACHE_ENTRIES", 2)
+    for (total, n), text in zip(ratios.totals(texts), texts, strict=True):
+        assert n == len((text or "").split())
+        assert total == pytest.approx(sum(evidence[w] for w in (text or "").split()), abs=1e-9)
+
+
 # fingerprints
 
 
