@@ -9,6 +9,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,23 @@ def test_repeated_strings_edges(documents, messy, empty):
     assert cut(documents(rows)) == cut_by_force(rows, 50)
     with pytest.raises(ValueError):
         suffix_dedup.dedup(empty, 100, 20)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_what_stands_alone_goes_across_batches(size):
+    h = [1, 2, 2, 3, 4, 4, 4, 5, 6, 6]
+    rows = pa.RecordBatch.from_pydict({"h": h, "c": list(range(10)), "doc": [7] * 10})
+    batches = [rows.slice(0, 0), *(rows.slice(i, size) for i in range(0, 10, size)), rows.slice(0, 0)]
+    kept = pa.Table.from_batches(suffix_dedup._repeated(iter(batches)), rows.schema)
+    assert kept["c"].to_pylist() == [1, 2, 4, 5, 6, 8, 9]
+    assert list(suffix_dedup._repeated(iter([]))) == []
+
+
+def test_names_are_shuffled_once(documents, spark, monkeypatch):
+    passes = []
+    emit = suffix_dedup._emit_seeds
+    monkeypatch.setattr(suffix_dedup, "_emit_seeds", lambda *a: passes.append(a) or emit(*a))
+    text = "the same passage stands in two documents and is long enough to count"
+    docs = documents([(1, text), (2, "before it " + text), (3, "nothing that another has")])
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.dedup(docs).collect()}
+    assert got == {1: 0, 2: len(text), 3: 0} and len(passes) == 1
