@@ -197,6 +197,96 @@ def test_neighbours_by_any_term():
     assert {doc for doc, _, _, sequence, _ in pieces if sequence == 0} == {0, 3}
 
 
+class Counting:
+    """A tokenizer that notes the words it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.words = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.words += [w for t in texts for w in t.split()]
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+    def encode(self, text, **options):
+        self.words += text.split()
+        return self.tokenizer.encode(text, **options)
+
+
+def test_a_word_is_tokenized_once_in_any_case():
+    pieces = packing.PieceTokenizer(PATH)
+    pieces.tokenizer = counting = Counting(pieces.tokenizer)
+    pieces.model = Counting(getattr(pieces, "model", None))
+    pieces.encode(["Sundry sundry, SUNDRY! sUnDrY.", "sundrY?? Sundry"])
+    words = counting.words + pieces.model.words
+    assert Counter(w.lower() for w in words)["sundry"] == 1
+
+
+def test_ids_over_chunks_and_after_forgetting(monkeypatch):
+    rng = random.Random(5)
+    letters = ["abcdeXYZ", "éÀßçñİıŠ", "0123456789²½", ".,;:!?*#$%&|'\"-<>", "\u0301\u0331\u200d", "한字ひアΣς", "\x1c\x85\xa0\u2003"]
+    texts = []
+    for _ in range(400):
+        runs = ["".join(rng.choices(rng.choice([letters[0], letters[1], "".join(letters)]), k=rng.randrange(1, 9))) for _ in range(30)]
+        texts.append(rng.choice([" ", "\n", "\t ", "  "]).join(r + rng.choice(["", "", ".", "!!", "'s", ",x"]) for r in runs))
+    texts += ["", " ", "H\u0331 h\u0331 I\u0307 don't DON'T <|endoftext|>. x<|ENDOFTEXT|>"]
+    tokenizer = tokenizers.Tokenizer.from_file(PATH)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for chunk, entries in ((1 << 24, 500_000), (700, 300), (1, 1)):
+        monkeypatch.setattr(packing, "CHUNK_BYTES", chunk, raising=False)
+        monkeypatch.setattr(packing, "CACHE_ENTRIES", entries)
+        pieces = packing.PieceTokenizer(PATH)
+        for _ in range(2):
+            assert [np.frombuffer(x, pieces.dtype).tolist() for x in pieces.encode(texts)] == want
+
+
+def plain_windows(lengths, terms, weights, window):
+    """Every document scored against every seed, term by term of the seed."""
+    postings = {}
+    for doc, (ts, ws) in enumerate(zip(terms, weights)):
+        for t, w in zip(ts, ws):
+            postings.setdefault(t, []).append((doc, float(w)))
+    left, pieces, sequence, room = list(lengths), [], 0, window
+
+    def put(doc):
+        nonlocal sequence, room
+        take = min(left[doc], room)
+        pieces.append((doc, lengths[doc] - left[doc], take, sequence, window - room))
+        left[doc] -= take
+        room -= take
+        if not room:
+            sequence, room = sequence + 1, window
+
+    for seed in range(len(lengths)):
+        while left[seed]:
+            put(seed)
+        if room == window:
+            continue
+        scores = [0.0] * len(lengths)
+        for t, w in zip(terms[seed], weights[seed]):
+            for doc, x in postings[t]:
+                scores[doc] += x * float(w)
+        for doc in sorted(range(len(lengths)), key=lambda d: (-scores[d], d)):
+            if room < window and left[doc] and scores[doc] > 0:
+                put(doc)
+    return pieces
+
+
+@pytest.mark.parametrize("vocabulary, copies", [(30, 1), (900, 1), (900, 40), (900, 400)])
+def test_windows_are_filled_by_full_scores(vocabulary, copies):
+    rng = np.random.default_rng(vocabulary + copies)
+    lengths, terms, weights = [], [], []
+    while len(lengths) < 700:
+        n = int(rng.integers(0, 28))
+        ts = rng.permutation(np.unique((vocabulary * rng.random(n) ** 2).astype(int))).astype("<u2")
+        # few values, so that scores tie
+        ws = rng.choice([0.25, 0.5, 1.5], len(ts)).astype(np.float32)
+        for _ in range(int(rng.integers(1, copies + 1))):
+            lengths.append(int(rng.integers(1, 90)))
+            terms.append(ts)
+            weights.append(ws)
+    assert packing.fill_windows(lengths, terms, weights, 64) == plain_windows(lengths, terms, weights, 64)
+
+
 def test_packing_edges(messy, empty):
     docs = [(r["doc_id"], r["text"]) for r in messy.select("doc_id", "text").collect()]
     check_pieces(packing.pack(messy, PATH).collect(), docs, 2048)
