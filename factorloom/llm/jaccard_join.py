@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from ..operators.cross_section import count_below
 from ..workspace import stage
 from .text import bounded_side, free_name, keyed
+from .workers import lean, text_batches
 
 WORDS = 5
 PERCENT = 75
@@ -90,8 +91,9 @@ def described(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     """Written table of doc_id, text_key, n (set size), key (of the set), first (n-grams)."""
     rows = keyed(docs, F.col("text")).withColumn("doc_id", F.col("doc_id").cast("string"))
     schema = "doc_id string, text_key long, n long, key binary, first array<long>"
-    sets = rows.mapInPandas(_describe(n_words, percent), schema)
-    return stage(sets.withColumn("doc_id", F.col("doc_id").cast("long")), "shingle-sets")
+    sets = rows.mapInPandas(lean(_describe(n_words, percent)), schema)
+    with text_batches(docs.sparkSession):
+        return stage(sets.withColumn("doc_id", F.col("doc_id").cast("long")), "shingle-sets")
 
 
 def linkable_classes(sets: DataFrame, percent: int) -> DataFrame:
@@ -146,7 +148,7 @@ def class_members(docs: DataFrame, classes: DataFrame, n_words: int) -> DataFram
             sets = [shingle_set(text, n_words) for text in batch["text"]]
             yield pd.DataFrame({"class": batch["class"], "n": batch["n"], "h": sets})
 
-    sets = texts.mapInPandas(run, "class long, n long, h array<long>")
+    sets = texts.mapInPandas(lean(run), "class long, n long, h array<long>")
     return sets.select("class", "n", F.explode("h").alias("h"))
 
 
@@ -164,9 +166,11 @@ def ordered_sets(members: DataFrame, percent: int) -> DataFrame:
     )
     alone = F.col("n") - F.size("members")
     least = F.ceil(F.col("n") * percent / 100)
-    return stage(
-        listed.withColumn("alone", alone).filter(F.size("members") >= least), "ordered-sets"
-    )
+    # members come from texts
+    with text_batches(members.sparkSession):
+        return stage(
+            listed.withColumn("alone", alone).filter(F.size("members") >= least), "ordered-sets"
+        )
 
 
 def first_members(sets: DataFrame, percent: int) -> DataFrame:

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import scratch_path, stage
+from .workers import give_back, lean, text_batches
 
 WINDOW = 2048
 END = 1
@@ -49,7 +50,9 @@ K1, B = 1.2, 0.75
 #: Runs and words whose ids a worker process remembers; when there are more, those not met again are forgotten.
 CACHE_ENTRIES = 500_000
 #: Bytes of text that are cut into runs at a time; a longer text is cut alone.
-CHUNK_BYTES = 1 << 24
+CHUNK_BYTES = 6 << 20
+#: Words that the tokenizer gets, and values that are copied, at a time.
+BLOCK_WORDS, BLOCK_VALUES = 1 << 14, 1 << 19
 
 _TAIL = ".,;:!?*#$%&|"
 #: The letter whose lower case ends in a mark, which the tokenizer joins to punctuation.
@@ -60,8 +63,16 @@ _SPACE[list(b" \t\n\r\x0b\x0c")] = True
 
 def _ranges(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """``values[start : start + length]`` of all pairs, one after the other."""
-    before = np.cumsum(lengths) - lengths
-    return values[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+    ends = np.cumsum(lengths)
+    shift = starts - (ends - lengths)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, values.dtype)
+    at = done = 0
+    while at < len(lengths):
+        stop = max(at + 1, int(np.searchsorted(ends, done + BLOCK_VALUES, "right")))
+        end = int(ends[stop - 1])
+        out[done:end] = values[np.repeat(shift[at:stop], lengths[at:stop]) + np.arange(done, end)]
+        at, done = stop, end
+    return out
 
 
 def _bytes_of(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +161,10 @@ class PieceTokenizer:
 
     def _of_words(self, tokenizer, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same for words of letters only, each of which ends with its one end token."""
+        if len(words) > BLOCK_WORDS:
+            blocks = range(0, len(words), BLOCK_WORDS)
+            found = [self._of_words(tokenizer, words.slice(i, BLOCK_WORDS)) for i in blocks]
+            return tuple(np.concatenate(x) for x in zip(*found))
         data, bounds = _bytes_of(words)
         line = np.insert(data[bounds[0] : bounds[-1]], bounds[1:-1] - bounds[0], ord(" "))
         ids = self._ids(tokenizer, line.tobytes().decode())
@@ -204,15 +219,19 @@ class PieceTokenizer:
         return _ranges(ids, starts.ravel(), lengths.ravel()), lengths.sum(axis=1)
 
     def _encode_chunk(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        space = _SPACE[data]
+        inside = ~_SPACE[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[bounds] = True
-        before, after = edge[:-1].copy(), edge[1:].copy()
-        before[1:] |= space[:-1]
-        after[:-1] |= space[1:]
-        starts = np.flatnonzero(before & ~space)
-        size = np.flatnonzero(after & ~space) + 1 - starts
-        coded = _parts_of(data[~space], size).dictionary_encode()
+        first, last = edge[:-1].copy(), edge[1:].copy()
+        first[1:] |= ~inside[:-1]
+        last[:-1] |= ~inside[1:]
+        first &= inside
+        last &= inside
+        starts = np.flatnonzero(first)
+        size = np.flatnonzero(last) + 1 - starts
+        del edge, first, last
+        coded = _parts_of(data[inside], size).dictionary_encode()
+        del inside, size
         at = self.runs.places(coded.dictionary)
         new = at < 0
         if new.any():
@@ -221,6 +240,7 @@ class PieceTokenizer:
         at = at[coded.indices.to_numpy()]
         lengths = self.runs.lengths[at]
         ids = _ranges(self.runs.ids, self.runs.starts[at], lengths)
+        del at, coded
         before_run = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
         self.runs.shrink()
         self.words.shrink()
@@ -245,6 +265,18 @@ class PieceTokenizer:
         ]
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``CHUNK_BYTES``, as each looks up all that is remembered."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > CHUNK_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+        held.append(batch)
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 @lru_cache(maxsize=1)
 def piece_tokenizer(path: str) -> PieceTokenizer:
     """The tokenizer of a worker process, with what it remembers from task to task."""
@@ -260,7 +292,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_tokenizer(tokenizer_path)
         width = np.dtype(pieces.dtype).itemsize
-        for batch in batches:
+        for batch in _merged(batches):
             at = 0
             for ids, bounds in pieces.encode_array(batch.column("text")):
                 n = len(bounds) - 1
@@ -283,7 +315,8 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     )
     schema = "row long, doc_id string, ids binary, n_tokens long, width int"
     path = scratch_path(docs.sparkSession, "token-ids")
-    rows.mapInArrow(encode, schema).write.option("compression", "zstd").parquet(path)
+    with text_batches(docs.sparkSession):
+        rows.mapInArrow(lean(encode), schema).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -466,7 +499,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_docs:
     totals = rows.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     n_docs, mean_length = totals[0], max(1.0, totals[1] / max(1, totals[0]))
     # one entry for each id of the tokenizer
-    counts = rows.select("ids", "width").mapInArrow(_frequencies, "token long, df long")
+    counts = rows.select("ids", "width").mapInArrow(lean(_frequencies), "token long, df long")
     df = counts.groupBy("token").agg(F.sum("df").alias("df")).toPandas()
     idf = np.zeros(int(df["token"].max()) + 1 if len(df) else 1)
     idf[df["token"].to_numpy(int)] = np.log(1 + (n_docs - df["df"].to_numpy() + 0.5) / (df["df"].to_numpy() + 0.5))
@@ -497,7 +530,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_docs:
 
     described = stage(
         rows.select("row", "ids", "width").mapInArrow(
-            describe, "row long, n_tokens long, width int, lead long, terms binary, weights binary"
+            lean(describe), "row long, n_tokens long, width int, lead long, terms binary, weights binary"
         ),
         "pack-terms",
     )
@@ -521,6 +554,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_docs:
         out = pd.DataFrame(found, columns=["doc", "start", "length", "sequence", "offset"], dtype=np.int64)
         out["row"] = number[out["doc"].to_numpy(int)] if len(out) else np.empty(0, np.int64)
         out["sequence_id"] = out["sequence"] + (int(shard["shard"].iloc[0]) << 32)
+        give_back()
         return out[["row", "start", "length", "sequence_id", "offset"]]
 
     pieces = routed.groupBy("shard").applyInPandas(
@@ -548,7 +582,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_docs:
         rows.join(listed, "row")
         .select("doc_id", "ids", "width", "n_tokens", "pieces")
         .mapInPandas(
-            checksums,
+            lean(checksums),
             "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
         )
         .withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import free_name
+from .workers import lean
 
 KINDS = ("assign", "access", "hex", "der", "openssh", "jwt")
 
@@ -226,7 +227,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
             yield pd.Series([masked(t, mask) for t in texts], index=texts.index, dtype=object)
 
     name = free_name(docs, "masked_text")
-    both = docs.withColumn(name, F.pandas_udf(run, "string")(F.col("text")))
+    both = docs.withColumn(name, F.pandas_udf(lean(run), "string")(F.col("text")))
     new = {"text": F.col(name)}
     if "n_chars" in docs.columns:
         count = F.char_length(name).cast(docs.schema["n_chars"].dataType)
